@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "leaks": ["p9_found", "p9_matches"],
     "tokenizer": ["p8_ids"],
+    "spam": ["p10_found", "p10_scores"],
 }
 
 
