@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module: names of its queries, in the order of the problems.
 MODULES = {
+    "near_duplicates": ["p6_found", "p6_groups"],
     "leaks": ["p9_found", "p9_matches"],
     "tokenizer": ["p8_ids"],
     "spam": ["p10_found", "p10_scores"],
