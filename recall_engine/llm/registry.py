@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Module: names of its queries, in the order of the problems.
 MODULES = {
+    "splitting": ["p3_found", "p3_pieces"],
+    "mojibake": ["p7_found", "p7_repaired"],
     "near_duplicates": ["p6_found", "p6_groups"],
     "leaks": ["p9_found", "p9_matches"],
     "tokenizer": ["p8_ids"],
