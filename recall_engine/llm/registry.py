@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module: names of its queries, in the order of the problems.
 MODULES = {
+    "ranking": ["p4_found", "p4_ranking"],
     "neighbours": ["p5_found", "p5_nearest"],
     "markup": ["p1_found", "p1_clean", "p1_templates", "p1_slots"],
     "splitting": ["p3_found", "p3_pieces"],
