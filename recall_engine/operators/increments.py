@@ -13,7 +13,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from recall_engine.plans.tables import new_folder, remove
 
@@ -21,7 +21,7 @@ from recall_engine.plans.tables import new_folder, remove
 STATE = "k1 long, k2 long, observed timestamp_ntz, entry_id long, content long, dataless boolean"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Composed Unicode; null stays null."""
     return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
