@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recall_engine.operators.catalog import sensitive
+from recall_engine.plans.tables import materialize
 
 
 def expected_ids(queries: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,30 +33,30 @@ def quality(ranks: DataFrame, *by: str) -> DataFrame:
 
 
 def percentile_exact(rows: DataFrame, column: str, share: float) -> DataFrame:
-    """The nearest-rank percentile of a column over all rows: value, from counts of distinct values, never a list of all."""
+    """value: the nearest-rank percentile of a column over all rows, from counts of distinct values, never a list of all."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c")).first()[0] or 0
+    kept = materialize(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
+    total = kept.agg(F.sum("c")).first()[0] or 0
     at = min(total - 1, int(share * total))
-    from recall_engine.operators.catalog import numbered_rows  # noqa: F401
+    # as many rows as tasks
+    sizes = kept.groupBy("part").agg(F.sum("c").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("value")) + F.col("before")
+    placed = kept.join(F.broadcast(sizes.withColumn("before", before).drop("n")), "part").withColumn("upto", upto)
+    return placed.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("value")
 
-    ordered = counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
-    from recall_engine.plans.tables import materialize
 
-    kept = materialize(ordered, "values")
-    sizes = kept.groupBy("_part").agg(F.sum("c").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    upto = F.sum("c").over(Window.partitionBy("_part").orderBy("value")) + F.col("_before")
-    rows_ = kept.join(F.broadcast(before), "_part").withColumn("_upto", upto)
-    return rows_.where((F.col("_upto") > at) & (F.col("_upto") - F.col("c") <= at)).select("value")
+def first_turns(files: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """id, path, kind, status, stratum, turn: up to n files of each (kind, has text), in a seeded order; no sensitive paths.
+
+    The limit per group is applied before the shuffle, so a large group costs no more than a small one.
+    """
+    pool = files.where(~sensitive("path")).select("id", "path", "kind", "status", (F.col("status") == "ok").alias("ok"))
+    turn = F.row_number().over(Window.partitionBy("kind", "ok").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    sizes = pool.groupBy("kind", "ok").agg(F.count("*").alias("stratum"))
+    return pool.withColumn("turn", turn).where(F.col("turn") <= n).join(sizes, ["kind", "ok"])
 
 
 def stratified(files: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """path, kind, status, turn: n files without sensitive paths, one of each (kind, has text) in turn, larger groups first."""
-    pool = files.where(~sensitive("path")).withColumn("ok", F.col("status") == "ok")
-    size = F.count("*").over(Window.partitionBy("kind", "ok"))
-    # the n first of a group are enough; a group-limit keeps them before the shuffle
-    turn = F.row_number().over(Window.partitionBy("kind", "ok").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
-    sizes = pool.groupBy("kind", "ok").agg(F.count("*").alias("size"))
-    first = pool.withColumn("turn", turn).where(F.col("turn") <= n).join(F.broadcast(sizes), ["kind", "ok"])
-    del size
-    return first.orderBy("turn", F.desc("size"), "kind", "ok").limit(n).select("id", "path", "kind", "status", "turn")
+    """n files, one of each (kind, has text) in turn, larger groups first."""
+    return first_turns(files, n, seed).orderBy("turn", F.desc("stratum"), "kind", "ok").limit(n).select("id", "path", "kind", "status", "turn")

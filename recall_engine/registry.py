@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from recall_engine.operators import increments
-from recall_engine.queries import catalog, search, text
+from recall_engine.queries import catalog, results, search, text
 
 
 def _books() -> dict:
-    return {k: v for book in (catalog.BOOK, text.BOOK, search.BOOK) for k, v in book.items()}
+    return {k: v for book in (catalog.BOOK, text.BOOK, search.BOOK, results.BOOK) for k, v in book.items()}
 
 
 def queries() -> dict:
