@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recall_engine.functions.queryparse import Parsed, merge_filters
 from recall_engine.functions.vocabulary import EXT_KIND, EXTRACTABLE, KINDS, SENSITIVE, TEXT_LIKE
 from recall_engine.operators import catalog as C
-from recall_engine.plans.skew import join_totals  # noqa: F401
 from recall_engine.queries import NOW, Book, read
 
 BOOK = Book()
@@ -50,7 +49,7 @@ SELECT entry_id, coalesce(regexp_extract(root, '([^/]*)$', 1), '') AS label,
   CASE WHEN root IS NULL THEN regexp_replace(path, '/[^/]*$', '') ELSE substr(regexp_replace(path, '/[^/]*$', ''), length(root) + 2) END AS rel_parent FROM one""")
 def split_root(spark, d):
     rows = read(spark, d, "scan_entries").select("entry_id", "path", "root")
-    roots = C.distinct_roots([r.root for r in rows.select("root").where("root is not null").distinct().limit(1000).collect()])  # roots are configured, few
+    roots = C.distinct_roots([r.root for r in rows.select("root").where("root is not null").distinct().collect()])  # roots are configured, few
     label, below = C.under_root("path", roots)
     return rows.select("entry_id", label.alias("label"), below.alias("rel_parent")).dropDuplicates(["entry_id"])
 

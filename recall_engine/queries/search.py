@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from recall_engine.functions.vocabulary import NOISY_FOLDERS, ROOT_ALIASES, STOPWORDS
 from recall_engine.operators import fusion as R, lexical as L, logs, semantic as S
+from recall_engine.plans.tables import materialize
 from recall_engine.queries import NOW, Book, read
 from recall_engine.queries.text import fold_sql, folders_sql, split_sql, tokens_sql, words_sql
 
@@ -318,7 +319,7 @@ def signals_all(spark, d):
 def hybrid(spark, d, o: R.Options = R.Options(), queries=None):
     """The hits of every logged search: keywords and vectors, fused, cut and ranked by the signals."""
     asked = unparsed(_queries(spark, d)) if queries is None else queries
-    fused = R.cut_margin(R.fuse(*_lists(spark, d, o), o), o.sem_only_margin)
+    fused = materialize(R.cut_margin(R.fuse(*_lists(spark, d, o), o), o.sem_only_margin), "fused")
     clicks = logs.use(read(spark, d, "clicks"), asked, fused, NOW)
     return R.top(R.signals(fused, read(spark, d, "files"), asked, NOW, o, clicks), o.limit)
 
