@@ -89,8 +89,8 @@ def _unlayer(text: str) -> tuple[str, int]:
                 return run
             if not all(_believable(c, name) for c in new):
                 return run
-            if _BOX.match(run) and not (text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()):
-                return run  # drawn lines
+            if _BOX.match(run) and (_BOX.match(text[max(0, m.start() - 1) : m.start()]) or _BOX.match(text[m.end() : m.end() + 1])):
+                return run  # part of drawn lines
             done += len(run)
             return new
 
@@ -172,6 +172,11 @@ def _reread(text: str, read: str, written: str) -> str | None:
     return "".join(out)
 
 
+def _changed(before: str, after: str) -> list[tuple[str, str]]:
+    """Words that differ between two texts of one length."""
+    return [(m.group(), after[m.start() : m.end()]) for m in _WORD.finditer(before) if after[m.start() : m.end()] != m.group()] if len(before) == len(after) else []
+
+
 def _unconfuse(text: str) -> tuple[str, float]:
     """Text with sentences reread under the pair of encodings that lowers the cost most, and the drop."""
     parts = [x for x in _SENTENCE.findall(text) if x]
@@ -184,7 +189,7 @@ def _unconfuse(text: str) -> tuple[str, float]:
         for part, before in zip(parts, costs, strict=True):
             if before:
                 again = _reread(part, read, written)
-                if again is None:  # a mixed sentence: word by word
+                if again is None or any(word_cost(x) > word_cost(w) for w, x in _changed(part, again)):  # a mixed sentence: word by word
                     again = _WORD.sub(lambda m: x if (x := _reread(m.group(), read, written)) is not None and word_cost(x) < word_cost(m.group()) else m.group(), part)
                 after = cost(again)
                 if after < before:
