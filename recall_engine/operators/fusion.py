@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recall_engine.functions.text import fold, query_words, split_name, tokens, words
 from recall_engine.functions.vocabulary import NOISY_FOLDERS, ROOT_ALIASES, STOPWORDS
 from recall_engine.operators.lexical import Weights
+from recall_engine.plans.tables import materialize
 
 DAY = 86_400.0
 
@@ -124,13 +125,23 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
     """
     q = queries.withColumn("q_terms", query_words("text")).withColumn("q_words", F.filter(words("text"), lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOPWORDS]), w)))
     stem_name = F.regexp_replace("name", r"(?s)\.[^.]*$", "")
-    f = files.select("id", "name", "ext", "root", "rel_parent", "mtime", "ctime", "last_used")
+    # what is read from names and folders is worked out once per file, not once per hit
+    read = {
+        "name_terms_": tokens(split_name(stem_name)),
+        "folder_terms_": tokens(F.concat_ws(" ", split_name(F.regexp_replace("rel_parent", "/", " ")), _root_words(F.col("root")))),
+        "name_words_": words("name"),
+        "folders_": F.transform(F.split("rel_parent", "/"), fold),
+        "duplicate_": duplicate_name(F.col("name")),
+        "plain_name_": F.regexp_replace("name", "[_-]", ""),
+    }
+    f = files.select("id", "name", "ext", "rel_parent", "mtime", "ctime", "last_used", *[v.alias(k) for k, v in read.items()])
+    f = materialize(f.join(hits.select("id").distinct(), "id", "left_semi"), "names")
     rows = hits.join(f, "id").join(q, "qid")
     if clicks is not None:
         rows = rows.join(clicks, ["qid", "id"], "left")
     else:
         rows = rows.withColumn("general", F.lit(None).cast("double")).withColumn("specific", F.lit(None).cast("double"))
-    name_terms, folder_terms = tokens(split_name(stem_name)), tokens(F.concat_ws(" ", split_name(F.regexp_replace("rel_parent", "/", " ")), _root_words(F.col("root"))))
+    name_terms, folder_terms = F.col("name_terms_"), F.col("folder_terms_")
     age = F.lit(now) - F.col("mtime")
     none = F.lit(0.0)
     bonus = none
@@ -140,13 +151,13 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
         bonus += F.when(F.col("recent"), 0.5 * decay(age, 30)).otherwise(none)
         some = F.size("q_terms") > 0
         exact = some & (F.size(F.array_except("q_terms", name_terms)) == 0)
-        loose = (F.size("q_words") > 0) & (F.size(F.array_except("q_words", words("name"))) == 0)
+        loose = (F.size("q_words") > 0) & (F.size(F.array_except("q_words", "name_words_")) == 0)
         bonus += F.when(exact | loose, F.lit(o.exact_name)).otherwise(none)
         both = F.array_union(name_terms, folder_terms)
         bonus += F.when(some, o.cover * F.size(F.array_intersect("q_terms", both)) / F.size("q_terms")).otherwise(none)
-        folders = F.transform(F.split("rel_parent", "/"), fold)
+        folders = F.col("folders_")
         bonus -= F.when(F.arrays_overlap(folders, F.array(*[F.lit(x) for x in NOISY_FOLDERS])) & ~F.arrays_overlap(folders, F.col("q_words")), F.lit(o.noisy_folder)).otherwise(none)
-        bonus -= F.when(duplicate_name(F.col("name")), F.lit(o.duplicate)).otherwise(none)
+        bonus -= F.when(F.col("duplicate_"), F.lit(o.duplicate)).otherwise(none)
         depth = F.when(F.col("rel_parent") == "", 0).otherwise(F.size(F.split("rel_parent", "/")))
         bonus -= F.greatest(depth - 6, F.lit(0)) * 0.02
         year = F.col("year_hint").cast("string")
@@ -158,7 +169,7 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
         times = [F.col("mtime"), F.coalesce("last_used", none), F.col("ctime")]
         inside = F.exists(F.array(*times), lambda t: (t >= F.col("date_from")) & (t < F.col("date_to")))
         glued = F.replace("name_terms", F.lit(" "), F.lit(""))
-        inside |= (F.col("name_terms") != "") & F.regexp_replace("name", "[_-]", "").contains(glued)
+        inside |= (F.col("name_terms") != "") & F.col("plain_name_").contains(glued)
         bonus += F.when(F.col("date_from").isNull(), none).when(inside, F.lit(o.date_in)).otherwise(F.lit(-o.date_out))
         bonus += F.when(F.size("exts") <= 0, none).when(F.array_contains("exts", F.col("ext")), F.lit(o.type_in)).otherwise(F.lit(-o.type_out))
     return rows.withColumn("bonus", bonus).withColumn("score", F.col("score") * F.greatest(F.lit(0.05), 1 + F.col("bonus"))).select(*hits.columns, "bonus", F.coalesce("general", none).alias("general"), F.coalesce("specific", none).alias("specific"))
