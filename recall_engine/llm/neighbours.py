@@ -20,7 +20,7 @@ COSINE = 0.9
 #: most but by about d / 8 as a rule in 64 dimensions, so that few pairs are lost.
 FACTOR, FACTOR_NEAREST = 0.18, 0.4
 #: Vectors the routing tree is built on, at most, and those of one shard as a rule.
-SAMPLE, SHARD = 16_384, 12_000
+SAMPLE, SHARD = 16_384, 32_000
 #: Stored vectors below which a block is compared as a whole.
 LEAF = 192
 
@@ -157,8 +157,6 @@ def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR,
         x, own = _unit(q), table["own"].to_numpy()
         rep, file = table["rep"].to_numpy(), table["file"].to_numpy()
         inside = np.flatnonzero(own)
-        exact = q.astype(np.int64)
-        norm = np.einsum("ij,ij->i", exact, exact)
         out_a, out_b = [], []
 
         def visit(s: np.ndarray, k: np.ndarray) -> None:
@@ -170,8 +168,9 @@ def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR,
                 keep = (rep[a] != rep[b]) & ((file[a] != file[b]) | (file[a] < 0))
                 a, b = a[keep], b[keep]
                 # the cosine once more in whole numbers
-                dot = np.einsum("ij,ij->i", exact[a], exact[b]).astype(float)
-                keep = dot >= cosine * np.sqrt(norm[a].astype(float) * norm[b])
+                u, v = q[a].astype(np.int64), q[b].astype(np.int64)
+                dot, size = np.einsum("ij,ij->i", u, v), np.einsum("ij,ij->i", u, u).astype(float) * np.einsum("ij,ij->i", v, v)
+                keep = dot >= cosine * np.sqrt(size)
                 out_a.append(np.minimum(rep[a[keep]], rep[b[keep]]))
                 out_b.append(np.maximum(rep[a[keep]], rep[b[keep]]))
 
@@ -224,23 +223,46 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FA
         x, own = _unit(_matrix(table["q"], dim)), table["own"].to_numpy()
         row, file, margin = table["row"].to_numpy(), table["file"].to_numpy(), table["margin"].to_numpy()
         inside, asks = np.flatnonzero(own), np.flatnonzero(~own)
-        best = np.full((len(asks), k), -2.0, np.float32)
-        who = np.full((len(asks), k), -1, np.int64)
+        # the k-th nearest of the sample is among the rows, so nothing worse than it is needed
+        radius = margin[asks] / factor
+        least = np.where(radius < 2, 1 - radius * radius / 2 - 1e-5, -2).astype(np.float32)
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def shrink() -> None:
+            """Keep the k best of each query of what was found so far."""
+            nonlocal held
+            if not found:
+                return
+            a, c, w = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((w, -c, a))
+            a, c, w = a[order], c[order], w[order]
+            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+            place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+            keep = place < k
+            last = place == k - 1
+            least[a[last]] = np.maximum(least[a[last]], c[last])
+            found[:] = [(a[keep], c[keep], w[keep])]
+            held = int(keep.sum())
 
         def visit(s: np.ndarray, q: np.ndarray) -> None:
+            nonlocal held
             s = inside[s]
             for at in range(0, len(q), 4096):
                 part = q[at : at + 4096]
                 c = x[asks[part]] @ x[s].T
-                c[file[asks[part]][:, None] == file[s][None, :]] = -2
-                c, w = np.concatenate([best[part], c], 1), np.concatenate([who[part], np.broadcast_to(row[s], c.shape)], 1)
-                order = np.lexsort((w, -c), axis=1)[:, :k]
-                best[part], who[part] = np.take_along_axis(c, order, 1), np.take_along_axis(w, order, 1)
+                i, j = np.nonzero(c >= least[part][:, None])
+                keep = file[asks[part[i]]] != file[s[j]]
+                i, j = i[keep], j[keep]
+                found.append((part[i], c[i, j], row[s[j]]))
+                held += len(i)
+                if held > 4_000_000:
+                    shrink()
 
         walk(x[inside], x[asks], margin[asks], visit)
-        ok = best > -2
-        a = np.broadcast_to(row[asks][:, None], best.shape)
-        return pa.table({"row_a": a[ok], "row_b": who[ok], "cosine": best[ok].astype(np.float64)})
+        shrink()
+        a, c, w = found[0] if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        return pa.table({"row_a": row[asks][a], "row_b": w.astype(np.int64), "cosine": c.astype(np.float64)})
 
     routed = kept.select("row", "file_id", "q").mapInArrow(route, "shard int, own boolean, margin float, row long, file long, q array<tinyint>")
     found = routed.groupBy("shard").applyInArrow(compare, "row_a long, row_b long, cosine double")
