@@ -191,6 +191,39 @@ def compact(chunks: DataFrame) -> DataFrame:
     return ordered.select(F.col("row").alias("old"), (F.col("number") - 1).cast("long").alias("new"))
 
 
+def renumber(chunks: DataFrame, vectors: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks and vectors with the rows of compact(); dead vectors are left out."""
+    old = mapping.select(F.col("old").alias("row"), "new")
+    moved = lambda df: df.join(old, "row").drop("row").withColumnRenamed("new", "row").select(*df.columns)
+    return moved(chunks), moved(vectors.where("file_id >= 0"))
+
+
+def needs_compaction(vectors: DataFrame, share: float = 0.3) -> bool:
+    """Whether so many vectors are dead that they should be rewritten."""
+    dead = vectors.agg(F.avg((F.col("file_id") < 0).cast("double"))).first()[0]
+    return dead is not None and dead >= share
+
+
+def progress(done: Column | float, total: Column | float, session: Column | float, elapsed: Column | float) -> tuple[Column, Column]:
+    """Percent done, to one digit, and seconds left: none in the first five seconds or without work done in this session."""
+    done, total, session, elapsed = (x if isinstance(x, Column) else F.lit(float(x)) for x in (done, total, session, elapsed))
+    percent = F.when(total > 0, F.bround(100 * done / total, 1)).otherwise(0.0)
+    left = F.when((elapsed >= 5) & (session > 0), F.greatest(F.lit(0.0), (total - done) * elapsed / session))
+    return percent, left
+
+
+def status_report(files: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: files, by_status and by_kind as maps, live vectors and the share of dead ones."""
+    counted = lambda c: files.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
+    rows = files.agg(F.count("*").alias("files"))
+    live = vectors.agg(F.count_if(F.col("file_id") >= 0).alias("vectors"), F.avg((F.col("file_id") < 0).cast("double")).alias("dead"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    out = one(rows)
+    for part in (counted("status"), counted("kind"), live):
+        out = out.join(one(part), "_one")
+    return out.drop("_one")
+
+
 def noisy(rel_parent: Column | str, query_words: Column) -> Column:
     """Whether a folder is one of copies or old versions that the query does not name."""
     from recall_engine.functions.vocabulary import NOISY_FOLDERS

@@ -32,6 +32,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def mean_pool(states: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask is 1, scaled to length one; null without such a token."""
+    kept = F.transform(F.filter(F.arrays_zip(states.alias("s"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["s"])
+    total = F.aggregate(F.slice(kept, 2, 1 << 20), F.transform(kept[0], lambda x: x.cast("double")), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    length = F.greatest(norm(total), F.lit(1e-12))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: (x / length).cast("float")))
+
+
 def searchable(vectors: DataFrame, names: bool = True, content: bool = True) -> DataFrame:
     """Live rows with a usable q; name rows or content rows can be left out."""
     rows = vectors.where((F.col("file_id") >= 0) & F.exists("q", lambda x: x != 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.functions.queryparse import Parsed, merge_filters
-from recall_engine.functions.vocabulary import EXT_KIND, EXTRACTABLE, KINDS, SENSITIVE, TEXT_LIKE
+from recall_engine.functions.vocabulary import EXTRACTABLE, KINDS, SENSITIVE, TEXT_LIKE
 from recall_engine.operators import catalog as C
 from recall_engine.queries import NOW, Book, read
 
@@ -235,4 +235,23 @@ def chunk_overlap(spark, d):
     return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("start")).alias("overlapping"))
 
 
-assert EXT_KIND["pdf"] == "pdf"
+@BOOK.add("SELECT id, length(content) AS chars, substr(content, 1, 80) AS head FROM lexical_index WHERE id IN (SELECT id FROM hits)")
+def content_lookup(spark, d):
+    """Stored content of the files that were hits, by a semi join on the id."""
+    wanted = read(spark, d, "hits").select("id").distinct()
+    rows = read(spark, d, "lexical_index").join(wanted, "id", "left_semi")
+    return rows.select("id", F.length("content").cast("long").alias("chars"), F.substring("content", 1, 80).alias("head"))
+
+
+@BOOK.add("""WITH m AS (SELECT row AS old, row_number() OVER (ORDER BY first, file_id, row) - 1 AS new FROM (SELECT row, file_id, min(row) OVER (PARTITION BY file_id) AS first FROM chunks) x)
+SELECT m.new AS row, v.file_id, v.is_name, c.start, c."end" FROM m JOIN vectors v ON v.row = m.old AND v.file_id >= 0 JOIN chunks c ON c.row = m.old""")
+def compact_vectors(spark, d):
+    chunks, vectors = read(spark, d, "chunks"), read(spark, d, "vectors")
+    c, v = C.renumber(chunks, vectors, C.compact(chunks))
+    return v.select("row", "file_id", "is_name").join(c.select("row", "start", "end"), "row")
+
+
+@BOOK.add("""SELECT (SELECT count(*) FROM files) AS files, (SELECT list((status, n) ORDER BY status) FROM (SELECT status, count(*) AS n FROM files GROUP BY 1) x) AS by_status, (SELECT list((kind, n) ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM files GROUP BY 1) x) AS by_kind,
+  count(*) FILTER (WHERE file_id >= 0) AS vectors, round(avg(CASE WHEN file_id < 0 THEN 1.0 ELSE 0.0 END), 9) AS dead FROM vectors""".replace("list((status, n) ORDER BY status)", "map_from_entries(list((status, n) ORDER BY status))").replace("list((kind, n) ORDER BY kind)", "map_from_entries(list((kind, n) ORDER BY kind))"))
+def status_report(spark, d):
+    return C.status_report(_files(spark, d), read(spark, d, "vectors")).withColumn("dead", F.round("dead", 9))

@@ -76,6 +76,45 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
+EVENT = "event string, path string, target string, size long, mtime double, dataless boolean, at timestamp"
+#: Kinds of file events that change nothing.
+IGNORED = ("opened", "closed_no_write")
+
+
+def file_events(spark: SparkSession, folder: str, per_batch: int = 64) -> DataFrame:
+    """A stream of file events from JSON lines: created, modified, moved (to target), deleted. per_batch bounds a batch."""
+    rows = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_batch).json(folder)
+    return rows.where(~F.col("event").isin(*IGNORED) & F.col("path").isNotNull())
+
+
+def apply_file_events(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """State (path, size, mtime, dataless, at) after events, the last one of a path counting.
+
+    A deleted or moved path takes everything below it along: paths are joined with the folders they lie in by equality.
+    What was written under it after that moment stays.
+    """
+    gone = batch.where("event in ('deleted', 'moved')").groupBy(F.col("path").alias("gone")).agg(F.max("at").alias("gone_at"))
+    written = batch.where("event in ('created', 'modified')").select("path", "size", "mtime", "dataless", "at")
+    moved = batch.where("event = 'moved' and target is not null").select(F.col("target").alias("path"), "size", "mtime", "dataless", "at")
+    newest = state.unionByName(written).unionByName(moved).groupBy("path").agg(F.max(F.struct("at", "size", "mtime", "dataless")).alias("s")).select("path", "s.size", "s.mtime", "s.dataless", "s.at")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    lost = newest.select("path", "at", F.explode(above).alias("gone")).join(gone, "gone").where(F.col("at") <= F.col("gone_at")).select("path").distinct()
+    return newest.join(lost, "path", "left_anti")
+
+
+def watch_files(spark: SparkSession, folder: str, state: StateTable, checkpoint: str, once: bool = True):
+    """Keep a state table up to date with the events of a folder; once takes what is there, else every QUIET."""
+    events = file_events(spark, folder)
+    writer = events.writeStream.foreachBatch(lambda df, i: state.write(apply_file_events(state.read(), df), i)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=QUIET)).start()
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add searches or clicks to their log."""
+    rows.write.mode("append").parquet(path)
+
+
 def stream_clicks(spark: SparkSession, path: str, now: float) -> DataFrame:
     """id, general: use of files kept by a stream of clicks. The state holds each file's use as of the moment now, so a
     batch only adds its own decayed clicks; clicks are told apart by id within a batch and against those seen before."""
