@@ -208,7 +208,7 @@ def errors_newest(spark, d):
     return _files(spark, d).where(F.col("status").isin("error", "timeout")).orderBy(F.desc("mtime"), "id").limit(50).select("id", "path", "error")
 
 
-@BOOK.add("SELECT coalesce(root, 'every root') AS root, sum(size) AS bytes FROM files GROUP BY ROLLUP (root)")
+@BOOK.add("SELECT coalesce(root, 'every root') AS root, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY ROLLUP (root)")
 def bytes_total(spark, d):
     return _files(spark, d).rollup("root").agg(F.sum("size").alias("bytes")).select(F.coalesce("root", F.lit("every root")).alias("root"), "bytes")
 

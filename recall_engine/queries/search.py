@@ -77,7 +77,7 @@ def _search_sql(fields: dict[str, float], expand: bool, limit: int, where: str =
 ALL_FIELDS = {"name": 3.0, "path": 1.5, "content": 1.0}
 
 
-@BOOK.add(f"WITH {POSTINGS} SELECT s.field, count(*) AS terms, sum(df) AS postings, max(df) AS most, round(any_value(avg), 6) AS mean_length FROM stats s JOIN mean USING (field) GROUP BY s.field")
+@BOOK.add(f"WITH {POSTINGS} SELECT s.field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, max(df) AS most, round(any_value(avg), 6) AS mean_length FROM stats s JOIN mean USING (field) GROUP BY s.field")
 def term_stats(spark, d):
     index = _index(spark, d)
     mean = index.lengths.groupBy("field").agg(F.round(F.sum("len") / index.docs, 6).alias("mean_length"))
@@ -121,14 +121,14 @@ def bm25_stemmed(spark, d):
 
 
 @BOOK.add(f"""WITH gone AS (SELECT id FROM files WHERE ext = 'txt'), {POSTINGS.replace('FROM lexical_index', 'FROM (SELECT * FROM lexical_index WHERE id NOT IN (SELECT id FROM gone))')}
-SELECT field, count(*) AS terms, sum(df) AS postings FROM stats GROUP BY field""")
+SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM stats GROUP BY field""")
 def index_delete(spark, d):
     left = L.delete(_index(spark, d), read(spark, d, "files").where("ext = 'txt'").select("id"))
     return left.stats.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
 
 
 @BOOK.add(f"""WITH {POSTINGS.replace('FROM lexical_index', "FROM (SELECT id, CASE WHEN ext = 'md' THEN 'note ' || name ELSE name END AS name, path, content, ext FROM lexical_index)")}
-SELECT field, count(*) AS terms, sum(df) AS postings FROM stats GROUP BY field""")
+SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM stats GROUP BY field""")
 def index_upsert(spark, d):
     changed = read(spark, d, "lexical_index").where("ext = 'md'").select("id", F.concat(F.lit("note "), "name").alias("name"), "path", "content")
     return L.upsert(_index(spark, d), changed).stats.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
@@ -241,7 +241,7 @@ def frecency_general(spark, d):
     return logs.general_use(read(spark, d, "clicks"), NOW).withColumn("general", F.round("general", 9))
 
 
-@BOOK.add(f"WITH {_CLICKS} SELECT qid, id, specific FROM specific")
+@BOOK.add(f"WITH {_CLICKS} SELECT qid, id, CAST(specific AS DOUBLE) AS specific FROM specific")
 def frecency_specific(spark, d):
     return logs.specific_use(read(spark, d, "clicks"), _queries(spark, d), NOW)
 

@@ -47,6 +47,16 @@ def test_upsert_and_delete(spark, index):
     assert L.delete(changed, spark.createDataFrame([(9,), (77,)], "id long")).docs == 4
 
 
+def test_saved_index(spark, index, tmp_path):
+    L.save(index, str(tmp_path))
+    again = L.load(spark, str(tmp_path))
+    asked = spark.createDataFrame([(1, "devis cuisine"), (2, "facture")], "qid long, text string")
+    rows = lambda i: sorted((r.qid, r.doc_id, round(r.score, 9)) for r in L.search(i, asked).collect())
+    assert rows(again) == rows(index) and again.docs == 4
+    plan = again.postings.where("field = 'name' and term = 'devis'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(field" in plan and "EqualTo(term,devis)" in plan
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(0)
     q = rng.integers(-127, 128, (200, 8))
