@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.llm.words import Words, ragged, slices
+from recall_engine.plans.tables import spread
 
 #: Words that a match must have in a row.
 RUN = 13
@@ -136,6 +137,7 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = RUN, near: int = NEAR
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    texts = spread(texts)
     schema = "doc_id long, item_id long, run int, near int"
     out = spark.createDataFrame([], schema)
     for rows in _blocks(items, block):

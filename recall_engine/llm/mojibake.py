@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.llm.words import slices
+from recall_engine.plans.tables import spread
 
 #: Encodings UTF-8 may have been read as.
 READ_AS = ("cp1252", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "iso8859-15", "cp1254", "koi8-r")
@@ -203,7 +204,7 @@ def _unconfuse(text: str) -> tuple[str, float]:
 #: Texts without any of these have nothing to repair: characters beyond those of correct texts, or in unlikely places.
 _SUSPECT = re.compile("[^\x00-\x7f" + re.escape("àâäçéèêëîïôöùûüÿœæñáíóúßÀÄÇÉÊÑÖÜŒ«»“”„‘’–—…€°²³§•¿¡№□ºª ") + "]|[a-zà-öø-ÿß][À-ÖØ-ÞŒ]|[à-öø-ÿ][A-Z]|â(?:€|\x80)|ï»¿|[’“”]\\w[’“”]|½")
 #: What a lost byte leaves behind of a sequence: its first character alone, or the first two of three.
-_LOST = re.compile(r"â€|(?<![\w'’\"])[ÃÂ](?=\s|$|\d)|(?<![A-ZÀ-Þ])Ã(?=[\sa-z])|(?<=[a-z])[ÃÂ](?=[\s,.;:!?]|$)|√(?=[a-z])")
+_LOST = re.compile(r"â€|(?<![\w'’\"])[ÃÂ](?=\s|$|\d)|(?<![A-ZÀ-Þ])Ã(?=[\sa-z])|(?<=[a-z])[ÃÂ](?=[\s,.;:!?]|$)|(?<=[a-zA-Z])√(?=[a-zA-Z])")
 
 
 def repair(text: str) -> tuple[str, int, float, bool]:
@@ -248,7 +249,7 @@ def repaired(records: DataFrame, id_column: str = "id", text_column: str = "cont
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "content", "layers", "drop", "lost"])
 
     rows = records.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("content")).where("length(content) > 0")
-    return rows.mapInArrow(run, "id long, content string, layers int, drop double, lost boolean")
+    return spread(rows).mapInArrow(run, "id long, content string, layers int, drop double, lost boolean")
 
 
 def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

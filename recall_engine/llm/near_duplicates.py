@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recall_engine.llm.bitslice import group_pairs
 from recall_engine.llm.words import Words, mix, ragged, shingles, slices
 from recall_engine.plans.links import expand
-from recall_engine.plans.tables import materialize
+from recall_engine.plans.tables import materialize, spread
 
 BITS, BANDS, ROWS = 128, 14, 2
 #: Distance in bits up to which a pair is checked exactly: mean and 4.3 standard deviations at similarity 0.6.
@@ -88,7 +88,7 @@ def sketches(texts: DataFrame, k: int, least: int) -> DataFrame:
             for low, high in slices(b.column(1)):
                 yield _sketch(b.column(0).slice(low, high - low), b.column(1).slice(low, high - low).to_pylist(), k, least)
 
-    return texts.mapInArrow(run, _SKETCHED)
+    return spread(texts).mapInArrow(run, _SKETCHED)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.llm.words import mix, powers, slices
+from recall_engine.plans.tables import spread
 
 MAXIMUM, MINIMUM, OVERLAP, LEAST_OVERLAP = 1100, 500, 180, 60
 #: Characters under the rolling hash; one of so many positions is a landmark.
@@ -126,7 +127,7 @@ def pieces(records: DataFrame, id_column: str = "id", text_column: str = "conten
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "start", "end", "forced"])
 
     rows = records.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("content")).where("length(content) > 0")
-    return rows.mapInArrow(run, "id long, start int, end int, forced boolean")
+    return spread(rows).mapInArrow(run, "id long, start int, end int, forced boolean")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

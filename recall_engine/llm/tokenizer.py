@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.llm.words import mix, ragged, slices
+from recall_engine.plans.tables import spread
 
 #: Fixed value of the public vocabulary: how a text is cut before pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,7 +222,7 @@ def token_ids(documents: DataFrame, path: str = DEFAULT, id_column: str = "doc_i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), ids], names=["doc_id", "ids"])
 
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
