@@ -13,7 +13,7 @@ from recall_engine.functions.queryparse import parsed
 from recall_engine.operators import catalog as C, evaluate as E, fusion as R, lexical as L, logs, semantic as S
 from recall_engine.plans.tables import materialize
 
-#: Queries that a search is split into parts of, so that what is sent to the workers stays bounded.
+#: From queries(qid, text) to (qid, q).
 Embed = Callable[[DataFrame], DataFrame]
 
 

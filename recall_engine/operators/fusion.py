@@ -177,7 +177,7 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
 
 def order() -> list[Column]:
     """Order of results: score, then the keyword and the vector list, then the id."""
-    return [F.desc(F.round("score", 9)), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("sem_rank"), F.asc("id")]
+    return [F.desc(F.rint(F.col("score") * 1e9)), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("sem_rank"), F.asc("id")]
 
 
 def top(hits: DataFrame, limit: int) -> DataFrame:
@@ -194,7 +194,7 @@ def rerank(hits: DataFrame, scores: DataFrame, o: Options = Options()) -> DataFr
     likely = F.coalesce(1 / (1 + F.exp(-F.col("logit"))), F.lit(0.0))
     blend = F.when(head, o.rerank_weight * likely + 1 / (F.col("place") + 2))
     rows = hits.join(scores, ["qid", "id"], "left").withColumn("blend", blend)
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(head), F.desc_nulls_last(F.round("blend", 9)), "place")) - 1
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(head), F.desc_nulls_last(F.rint(F.col("blend") * 1e9)), "place")) - 1
     return rows.withColumn("final_rank", place).drop("logit")
 
 

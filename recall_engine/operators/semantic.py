@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recall_engine.plans.tables import spread
+
 #: Rows that are kept per query, files of these, and what counts as close to a file's best row.
 ROWS, FILES, CLOSE = 300, 150, 0.02
 #: Queries that go to every worker at once; more are searched in turns.
@@ -49,7 +51,7 @@ def searchable(vectors: DataFrame, names: bool = True, content: bool = True) ->
 
 
 def _top(k: int):
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("cos", 6)), "row"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.rint(F.col("cos") * 1e6)), "row"))
     return lambda df: df.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
@@ -99,7 +101,7 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = ROWS, allowed: Dat
                             names=["qid", "row", "file_id", "cos"],
                         )
 
-        found = rows.mapInArrow(run, "qid long, row long, file_id long, cos double")
+        found = spread(rows).mapInArrow(run, "qid long, row long, file_id long, cos double")
         out = found if out is None else out.unionByName(found)
     return _top(k)(out)
 
@@ -109,5 +111,5 @@ def per_file(rows: DataFrame, files: int = FILES) -> DataFrame:
     best = Window.partitionBy("qid", "file_id")
     marked = rows.withColumn("top", F.max("cos").over(best))
     grouped = marked.groupBy("qid", "file_id").agg(F.max("cos").alias("cos"), F.min(F.when(F.col("cos") == F.col("top"), F.col("row"))).alias("best_row"), F.count_if(F.col("cos") > F.col("top") - CLOSE).alias("near"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("cos", 6)), "file_id"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.rint(F.col("cos") * 1e6)), "file_id"))
     return grouped.withColumn("rank", place - 1).where(F.col("rank") < files)

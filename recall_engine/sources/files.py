@@ -30,9 +30,8 @@ def excluded(path: Column, roots: list[str], folders: tuple[str, ...] = SKIPPED_
     return ~inside | skipped | name.startswith(".") | name.rlike(_regex(files))
 
 
-def package_of(path: Column, roots: list[str]) -> Column:
+def package_of(path: Column) -> Column:
     """The outermost folder of a path that is shown as one document, or null."""
-    del roots
     pattern = r"^(.*?/[^/.][^/]*\.(?:" + "|".join(sorted(PACKAGES)) + r"))/"
     found = F.regexp_extract(path, "(?i)" + pattern, 1)
     return F.when(found != "", found)
@@ -50,7 +49,7 @@ def scan(spark: SparkSession, roots: list[str], content: bool = False, folders:
     plain = nfc(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^file:(?://)?", ""))
     rows = raw.select(plain.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), *(["content"] if content else []))
     marked = rows.where(F.col("path").endswith("/pyvenv.cfg")).select(F.regexp_replace("path", "/pyvenv.cfg$", "").alias("venv")).distinct()
-    packed = rows.withColumn("package", package_of(F.col("path"), roots))
+    packed = rows.withColumn("package", package_of(F.col("path")))
     single = packed.where("package is null").drop("package")
     whole = packed.where("package is not null").groupBy("package").agg(F.max("mtime").alias("mtime"))
     whole = whole.select(F.col("package").alias("path"), F.lit(0).cast("long").alias("size"), "mtime", *([F.lit(None).cast("binary").alias("content")] if content else []))
