@@ -135,7 +135,7 @@ def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR,
     kept = kept.dropDuplicates(["row"])
     # q is the key of a class; a class of several files has no file of its own
     reps = materialize(kept.groupBy("q").agg(F.min("row").alias("rep"), F.count("*").alias("size"), F.min("file_id").alias("low"), F.max("file_id").alias("high")), "classes")
-    router, _, n = _router(reps, dim)
+    router, *_ = _router(reps, dim)
     radius = float(np.sqrt(2 - 2 * cosine))
     margin = factor * radius
     held = vectors.sparkSession.sparkContext.broadcast(router)
