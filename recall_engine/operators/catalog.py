@@ -162,6 +162,13 @@ def numbered_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     return ranges.join(F.broadcast(before), "_part").withColumn("number", own + F.col("_before")).drop("_part", "_before")
 
 
+def places(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Rows with place 0, 1, ... within their key in the order of the columns by, however many rows a key has."""
+    numbered = numbered_rows(rows, [key, *by])
+    first = numbered.groupBy(key).agg(F.min("number").alias("_first"))
+    return numbered.join(first, key).withColumn("place", F.col("number") - F.col("_first")).drop("number", "_first")
+
+
 def deletable(path: Column | str, roots: list[str], live_roots: list[str]) -> Column:
     """Whether a missing file may be deleted: its root is in reach, or it lies under no root."""
     path = _column(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from recall_engine.functions.vocabulary import NOISY_FOLDERS, ROOT_ALIASES, STOPWORDS
 from recall_engine.operators import fusion as R, lexical as L, logs, semantic as S
+from recall_engine.operators.catalog import places
 from recall_engine.plans.tables import materialize
 from recall_engine.queries import NOW, Book, read
 from recall_engine.queries.text import fold_sql, folders_sql, split_sql, tokens_sql, words_sql
@@ -358,5 +359,5 @@ def hits_with_files(spark, d):
     """Hits of files that are there, by logged score."""
     h = read(spark, d, "hits").groupBy(F.col("search_id").alias("qid"), "id").agg(F.max("score").alias("score"))
     known = h.join(read(spark, d, "files").select("id"), "id")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc_nulls_last("score"), "id")) - 1
-    return known.select("qid", "id", place.cast("long").alias("place"))
+    ordered = known.withColumn("behind", F.coalesce(-F.col("score"), F.lit(float("inf"))))
+    return places(ordered, "qid", ["behind", "id"]).select("qid", "id", F.col("place").cast("long").alias("place"))
