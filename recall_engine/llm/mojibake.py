@@ -71,18 +71,30 @@ def _believable(c: str, encoding: str) -> bool:
 
 
 _BOX = re.compile(r"^[─-▟]+$")
+#: All sequences of all readers stand in these.
+_RUN = re.compile("[^\x00-\x7f]{2,}")
+_POINTS = "«»“”„‘’–—…€•\u00a0\u202f"
+
+
+def _accident(text: str, m: re.Match, new: str, alone: bool) -> bool:
+    """Whether a sequence is more likely a letter with the punctuation after it: « café », allé…”, „Ä“."""
+    before, run = text[max(0, m.start() - 1) : m.start()], m.group()
+    if 0x3000 <= ord(new[0]) < 0xA000:
+        return alone and (before.isalpha() or all(c in _POINTS for c in run[1:]))
+    return run[0] == "Ä" and (before.isupper() and run[1] in "…“”»\u00a0" or before != "" and before in _OPEN + "„" and run[1] in _SHUT + "“…\u00a0")
 
 
 def _unlayer(text: str) -> tuple[str, int]:
     """Text with one layer of UTF-8 read as a legacy encoding undone, and the number of sequences; the best reading wins."""
     best, most = text, 0
+    runs = "\n".join(_RUN.findall(text))
     for name, pattern, back in _readers():
-        if not pattern.search(text):
+        if not runs or not pattern.search(runs):
             continue
-        done = 0
+        done, last = 0, -1
 
-        def swap(m: re.Match, name=name, back=back) -> str:
-            nonlocal done
+        def swap(m: re.Match, name=name, back=back, pattern=pattern) -> str:
+            nonlocal done, last
             run = m.group()
             try:
                 new = bytes(back[c] for c in run).decode("utf-8")
@@ -92,7 +104,9 @@ def _unlayer(text: str) -> tuple[str, int]:
                 return run
             if _BOX.match(run) and (_BOX.match(text[max(0, m.start() - 1) : m.start()]) or _BOX.match(text[m.end() : m.end() + 1])):
                 return run  # part of drawn lines
-            done += len(run)
+            if _accident(text, m, new, last != m.start() and not pattern.match(text, m.end())):
+                return run
+            done, last = done + len(run), m.end()
             return new
 
         new = pattern.sub(swap, text)
@@ -107,6 +121,10 @@ def _letter(c: str) -> bool:
 
 def word_cost(word: str) -> float:
     """How unlikely the characters of a word are where they stand."""
+    return _short_cost(word) if len(word) <= 40 else _word_cost(word)
+
+
+def _word_cost(word: str) -> float:
     total = 0.0
     for i, c in enumerate(word):
         if c < "\x80":
@@ -144,6 +162,23 @@ def word_cost(word: str) -> float:
     return total
 
 
+_short_cost = lru_cache(1 << 16)(_word_cost)
+_JOIN = re.compile(r"([^\W\d_]*)([–—…])(?=([^\W\d_]*))")
+_VOWEL = re.compile("[aeiouyàâäæèéêëîïôöœùûüÿáíóúý]", re.I)
+
+
+def shown_cost(word: str) -> float:
+    """Cost without dashes and dots that may join or begin words (dit—elle): those are no evidence unless a mere rest of a word follows (canci—n, ma–ana)."""
+
+    def plain(m: re.Match) -> str:
+        a, c, b = m.groups()
+        rest = len(a) > 1 and _VOWEL.search(a) and b.islower() and not _VOWEL.search(b)
+        tilde = c == "–" and a and a[-1] in "aeiou" and b[:1] in ("a", "e", "i", "o", "u") and len(b) <= 3
+        return m.group() if rest or tilde else a + "-"
+
+    return word_cost(_JOIN.sub(plain, word))
+
+
 _WORD = re.compile(r"[^\s]*[^\x00-\x7f\s][^\s]*")
 _SENTENCE = re.compile(r"[^\n.!?]*[\n.!?]?")
 
@@ -179,14 +214,14 @@ def _changed(before: str, after: str) -> list[tuple[str, str]]:
 
 
 def _unconfuse(text: str) -> tuple[str, float]:
-    """Text with sentences reread under the pair of encodings that lowers the cost most, and the drop."""
+    """Text with sentences reread under the pair of encodings that lowers the cost most, and the drop; at least half of DROP must be shown."""
     parts = [x for x in _SENTENCE.findall(text) if x]
     costs = [cost(x) if not x.isascii() else 0.0 for x in parts]
     if not any(costs):
         return text, 0.0
     best, most = text, 0.0
     for read, written in CONFUSED:
-        drop, new = 0.0, []
+        drop, shown, new = 0.0, 0.0, []
         for part, before in zip(parts, costs, strict=True):
             if before:
                 again = _reread(part, read, written)
@@ -194,23 +229,20 @@ def _unconfuse(text: str) -> tuple[str, float]:
                     again = _WORD.sub(lambda m: x if (x := _reread(m.group(), read, written)) is not None and word_cost(x) < word_cost(m.group()) else m.group(), part)
                 after = cost(again)
                 if after < before:
+                    shown += sum(max(0.0, shown_cost(w) - word_cost(x)) for w, x in _changed(part, again))
                     drop, part = drop + before - after, again
             new.append(part)
-        if drop > most + 1e-9:
+        if drop > most + 1e-9 and shown >= DROP / 2:
             best, most = "".join(new), drop
     return best, most
 
 
-#: Texts without any of these have nothing to repair: characters beyond those of correct texts, or in unlikely places.
-_SUSPECT = re.compile("[^\x00-\x7f" + re.escape("àâäçéèêëîïôöùûüÿœæñáíóúßÀÄÇÉÊÑÖÜŒ«»“”„‘’–—…€°²³§•¿¡№□ºª ") + "]|[a-zà-öø-ÿß][À-ÖØ-ÞŒ]|[à-öø-ÿ][A-Z]|â(?:€|\x80)|ï»¿|[’“”]\\w[’“”]|½")
 #: What a lost byte leaves behind of a sequence: its first character alone, or the first two of three.
 _LOST = re.compile(r"â€|(?<![\w'’\"])[ÃÂ](?=\s|$|\d)|(?<![A-ZÀ-Þ])Ã(?=[\sa-z])|(?<=[a-z])[ÃÂ](?=[\s,.;:!?]|$)|(?<=[a-zA-Z])√(?=[a-zA-Z])")
 
 
 def repair(text: str) -> tuple[str, int, float, bool]:
     """The text as far as it can be restored, layers undone, drop of the cost of rereading, whether characters are lost."""
-    if not _SUSPECT.search(text):
-        return text, 0, 0.0, False
     layers = 0
     while layers < LAYERS:
         new, done = _unlayer(text)
@@ -230,8 +262,8 @@ def repair(text: str) -> tuple[str, int, float, bool]:
 def repaired(records: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
     """id, content (restored where possible), layers, drop, lost of the records that were decoded wrongly.
 
-    Null, empty and correct texts have no row; repeated rows stay, a null id stays null, other columns are ignored. Texts
-    without a suspect character are told by one search; no shuffle.
+    Null, empty and correct texts have no row; repeated rows stay, a null id stays null, other columns are ignored. Every
+    text beyond ASCII is tried; no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,6 +157,24 @@ def test_utf8_read_as_legacy(read):
         assert mojibake.repair(bad)[3] or mojibake.repair(bad)[1]
 
 
+@pytest.mark.parametrize(
+    ("bad", "good"),
+    [
+        ("â–¡ 614 g", "□ 614 g"), ("âœ“ fait, âœ… ok", "✓ fait, ✅ ok"), ("â„– 12 â”€â”€ total", "№ 12 ── total"),
+        ("Die M„dchen k”nnen sp„ter gr”áer h”ren", "Die Mädchen können später größer hören"), ("La canci—n de ma–ana segœn aqu’", "La canción de mañana según aquí"),
+    ],
+)
+def test_garbled_into_usual_characters(bad, good):
+    new, layers, drop, _ = mojibake.repair(bad)
+    assert new == good and (layers == 1 or drop >= mojibake.DROP)
+
+
+@pytest.mark.parametrize("text", ["un « café\u00a0» noir, « né\u00a0»", "“Il est allé…” — “é…”", "Er schrieb „Ä“ und «Ä», HÄ…", "she said—quietly—that it…was over", "Paris–Lyon et Paris–Lille, A–Z", "—No —dijo él—, nada —dijo ella", "–lait\n–pain\n–sel", "l’axe franco–allemand, socio–économique"])
+def test_usual_characters_stay(text):
+    new, layers, drop, lost = mojibake.repair(text)
+    assert new == text and not layers and not lost and drop < mojibake.DROP
+
+
 def test_nested_layers():
     bad = SENTENCE
     for _ in range(2):
