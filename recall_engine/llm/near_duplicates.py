@@ -196,7 +196,7 @@ def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = _found(spark, sf_dir)
-    return expand(pairs, members)
+    return expand(pairs, materialize(members, "members"))
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

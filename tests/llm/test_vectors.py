@@ -53,6 +53,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty[0].count() == empty[1].count() == 0
 
 
+def test_large_classes_of_different_texts_lose_nothing(spark):
+    base = texts(2)[:2]
+    edited = base[0].replace(base[0].split()[5], "autre", 1)
+    rows = list(enumerate([base[0].upper() if i % 3 else base[0].replace(" ", ", ") for i in range(70)] + [edited.title() if i % 2 else edited for i in range(5)] + base[1:]))
+    expected = {(a, b) for b in range(75) for a in range(b)}
+    pairs, members = N.links(spark.createDataFrame(rows, "id long, content string"), k=3, similarity=0.6, least=40)
+    for got in (N.expand(pairs, members), N.expand(pairs, members, block=9)):
+        got = [tuple(r) for r in got.collect()]
+        assert len(got) == len(expected) and set(got) == expected
+
+
 def test_hot_buckets_lose_nothing(spark):
     rows = list(enumerate(texts(1)[:58]))
     table = N.sketches(spark.createDataFrame(rows, "id long, content string"), 3, 1).select("id", "sketch", F.array(F.lit(1).cast("long")).alias("bands"))
