@@ -182,7 +182,7 @@ def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR,
     routed = reps.select("rep", file, "q").mapInArrow(route, "shard int, own boolean, rep long, file long, q array<tinyint>")
     pairs = routed.groupBy("shard").applyInArrow(compare, "rep_a long, rep_b long").distinct()
     members = kept.join(reps.select("q", "rep", "size"), "q").select(F.col("row").alias("id"), "rep", "size", F.col("file_id").alias("tag"))
-    return expand(pairs, members).select(F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b")).distinct()
+    return expand(pairs, materialize(members, "members")).select(F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b")).distinct()
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FACTOR_NEAREST, dim: int | None = None) -> DataFrame:

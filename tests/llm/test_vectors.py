@@ -64,6 +64,20 @@ def test_large_classes_of_different_texts_lose_nothing(spark):
         assert len(got) == len(expected) and set(got) == expected
 
 
+def test_large_classes_over_several_files_lose_nothing(spark):
+    q, close, far = [100] * 8, [100] * 7 + [90], [-100, 100] * 4
+    rows = [(i, i // 30, q) for i in range(75)] + [(80, 0, close), (81, 1, close), (82, 5, far)]
+    table = spark.createDataFrame([(*r, False) for r in rows], "row long, file_id long, q array<tinyint>, is_name boolean")
+    expected = {(a, b) for a, f, _ in rows[:-1] for b, g, _ in rows[:-1] if a < b and f != g}
+    assert {tuple(r) for r in V.similar(table, dim=8).collect()} == expected
+
+
+def test_links_through_representatives_of_two_tags(spark):
+    members = spark.createDataFrame([(1, 1, 5, 7), (2, 1, 5, 7), (3, 1, 5, 8), (4, 1, 5, 8), (5, 1, 5, 9), (6, 6, 1, 7)], "id long, rep long, size long, tag long")
+    got = sorted(tuple(r) for r in N.expand(spark.createDataFrame([(1, 6)], "rep_a long, rep_b long"), members, full=4).collect())
+    assert got == [(1, 3), (1, 4), (1, 5), (2, 3), (3, 5), (3, 6)]
+
+
 def test_hot_buckets_lose_nothing(spark):
     rows = list(enumerate(texts(1)[:58]))
     table = N.sketches(spark.createDataFrame(rows, "id long, content string"), 3, 1).select("id", "sketch", F.array(F.lit(1).cast("long")).alias("bands"))
