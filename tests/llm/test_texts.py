@@ -234,6 +234,11 @@ def test_spam(spark):
     assert spam.scores(rows.limit(0)).count() == 0
 
 
+def test_spam_without_counts_of_pairs(spark):
+    rows = spark.createDataFrame([(1, 20, None, 0.9, 0.0, 0.0), (2, 20, None, 0.9, 0.0, 0.5), (3, 20, 9.0, 0.9, 0.0, 0.0)], "doc_id long, words long, list_pmi double, listed double, linked double, repeated double")
+    assert {r.doc_id: r.spam for r in rows.select("doc_id", spam.is_spam().alias("spam")).collect()} == {1: False, 2: True, 3: True}
+
+
 def test_counts_are_whole(spark):
     texts = spark.createDataFrame([("a b a",), ("b a",), ("a b",)], "text string").repartition(3)
     got = {r.n for r in spam.counts(texts.where(F.length("text") > 0), 1).collect()}
