@@ -1,30 +1,37 @@
 """Problem 2: each run processes the records that are new or changed since the last successful one.
 
 Method: the state of every key is kept with a hash of its content. A run hashes the rows that arrived since the last
-successful run, joins them with the state, tells new and changed keys, and writes the next version of the state; one
-rename of a small pointer file makes the version the current one. A run that fails before the rename has committed
-nothing: the next one reads the same state and the same rows again, so no record is skipped or repeated. Late rows
-belong to the run that first sees them.
+successful run, joins them with the state, tells new and changed keys, and writes the next version of the state to a
+folder of its own; one rename (plans.versions) makes that version the current one. A run that fails before the rename has
+committed nothing: the next one reads the same state and the same rows again. A run that is repeated after its rename
+gives the cases it committed and changes nothing. So no record is skipped or repeated. Late rows belong to the run that
+first sees them.
 """
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from recall_engine.plans.tables import new_folder, remove
+from recall_engine.plans.tables import materialize, new_folder, remove
+from recall_engine.plans.versions import Versions
 
 #: The state of a path: two hashes of it, the last observation, a hash of size and mtime, and whether it is a placeholder.
 STATE = "k1 long, k2 long, observed timestamp_ntz, entry_id long, content long, dataless boolean"
+_VERSION = f"{STATE}, path string, changed boolean"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(x: pd.Series) -> pd.Series:
-    """Composed Unicode; null stays null."""
-    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+def _composed(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(x: Column | str) -> Column:
+    """Composed Unicode; null stays null. Only texts beyond ASCII go to Python."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.coalesce(_composed(F.when(x.rlike(r"[^\x00-\x7f]"), x)), x)
 
 
 def _keys(path: Column) -> list[Column]:
@@ -33,43 +40,43 @@ def _keys(path: Column) -> list[Column]:
 
 
 class StateStore:
-    """Versions of the state in a folder, with a pointer to the current one."""
+    """Versions of the state in a folder. The cases of every run stay; of the states, the current one and the one before,
+    which may still be read."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _read(self, path) -> str:
-        with_close = self._fs.open(path)
-        try:
-            return bytes(with_close.readAllBytes()).decode()
-        finally:
-            with_close.close()
+        self.versions = Versions(spark, folder)
 
     def current(self) -> dict | None:
-        """run_id, seen (started of that run) and version of the last commit, if there is one."""
-        found = [x.getPath() for x in self._fs.listStatus(self._path(self.folder))] if self._fs.exists(self._path(self.folder)) else []
-        commits = sorted(p.getName() for p in found if p.getName().startswith("commit-"))
-        return json.loads(self._read(self._path(f"{self.folder}/{commits[-1]}"))) if commits else None
-
-    def state(self) -> DataFrame:
-        """The rows of the current version."""
-        at = self.current()
-        return self.spark.read.schema(f"{STATE}, path string, changed boolean").parquet(at["version"]) if at else self.spark.createDataFrame([], f"{STATE}, path string, changed boolean")
+        """number, run_id, seen (started of that run) and data (the folder) of the last commit, if there is one."""
+        return self.versions.current()
+
+    def _read(self, data: str) -> DataFrame:
+        return self.spark.read.schema(_VERSION).parquet(data)
+
+    def state(self, at: dict | None = None) -> DataFrame:
+        """The rows of a commit's version, by default of the current one."""
+        at = at or self.current()
+        return self._read(at["data"]) if at else self.spark.createDataFrame([], _VERSION)
+
+    def cases(self, run_id: int) -> DataFrame | None:
+        """run_id, path of what a run committed; None if it has committed nothing."""
+        for n in reversed(self.versions.numbers()):
+            at = self.versions.commit_of(n)
+            if at["run_id"] == run_id:
+                return self._cases(at)
+        return None
 
-    def version_path(self, run_id: int) -> str:
-        return f"{self.folder}/run-{run_id}"
+    def _cases(self, at: dict) -> DataFrame:
+        return self._read(at["data"]).where("changed").select(F.lit(at["run_id"]).cast("long").alias("run_id"), "path")
 
-    def commit(self, number: int, run_id: int, seen: str) -> None:
-        """Make the version of a run the current one: a file is written aside and renamed, which happens whole or not."""
-        aside, final = self._path(f"{self.folder}/_aside-{number}"), self._path(f"{self.folder}/commit-{number:09d}")
-        out = self._fs.create(aside, True)
-        out.write(bytearray(json.dumps({"run_id": run_id, "seen": seen, "version": self.version_path(run_id), "number": number}).encode()))
-        out.close()
-        if not self._fs.rename(aside, final):
-            raise RuntimeError(f"another run has committed {final.toString()}")
+    def publish(self, number: int, data: str, run_id: int, seen: str) -> None:
+        """Make a version the current one and remove what no run can need any more."""
+        if not self.versions.publish(number, data, run_id=run_id, seen=seen):
+            raise RuntimeError(f"another run has committed version {number} of {self.folder}")
+        self.versions.drop_abandoned(number)
+        if number >= 2:
+            self.versions.drop(f"{self.versions.commit_of(number - 2)['data']}/changed=false")
 
 
 def usable(entries: DataFrame) -> DataFrame:
@@ -82,14 +89,18 @@ def usable(entries: DataFrame) -> DataFrame:
 
 
 def process(entries: DataFrame, store: StateStore, run_id: int, started: str, succeeds: bool = True) -> DataFrame | None:
-    """One run over scan rows (usable()): the paths that are new or changed, committed with the next version of the state.
-
-    started: the rows that arrived until then are seen. succeeds=False stops before the commit, as a failure would, and
-    gives None. A path is a case if its state didn't exist at the last commit, has another size or mtime, or is
-    dataless no more. Rows delivered twice and late rows change nothing that is newer. Of a path seen twice at one
-    moment the greater entry_id counts. The rows of the run are aggregated before their shuffle; the state is joined by
-    hashes of the path, without the path itself.
+    """One run over scan rows (usable()): run_id, path of what is new or changed, committed with the next state.
+
+    started: the rows that arrived until then are seen. succeeds=False does the work and stops before the commit, as a
+    failure would, and gives None. A run_id that has committed before gives its cases of then, whatever the rows are now.
+    A path is a case if its state didn't exist at the last commit, has another size or mtime, or is dataless no more.
+    Rows delivered twice and late rows change nothing that is newer. Of a path seen twice at one moment the greater
+    entry_id counts. The rows of the run are aggregated before their shuffle; the state is joined by hashes of the path,
+    without the path itself. If another run commits first, this one raises and can be repeated.
     """
+    done = store.cases(run_id)
+    if done is not None:
+        return done
     at = store.current()
     number = at["number"] + 1 if at else 0
     moment = lambda x: F.lit(x).cast("timestamp_ntz")
@@ -99,37 +110,43 @@ def process(entries: DataFrame, store: StateStore, run_id: int, started: str, su
     hashed = fresh.select(nfc("path").alias("path"), "observed", "entry_id", F.xxhash64("size", "mtime").alias("content"), "dataless")
     hashed = hashed.select(*_keys(F.col("path")), F.struct("observed", "entry_id", "content", "dataless", "path").alias("s"))
     latest = hashed.groupBy("k1", "k2").agg(F.max("s").alias("s")).select("k1", "k2", *[F.col(f"s.{c}").alias(f"new_{c}") for c in ("observed", "entry_id", "content", "dataless", "path")])
-    old = store.state().select("k1", "k2", "observed", "entry_id", "content", "dataless")
+    old = store.state(at).select("k1", "k2", "observed", "entry_id", "content", "dataless")
     both = old.join(latest, ["k1", "k2"], "full_outer")
     newer = F.col("new_observed").isNotNull() & (F.col("observed").isNull() | (F.struct("new_observed", "new_entry_id") > F.struct("observed", "entry_id")))
     changed = newer & (F.col("observed").isNull() | (F.col("new_content") != F.col("content")) | (F.col("dataless") & ~F.col("new_dataless")))
     take = lambda c: F.when(newer, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-    # the path is kept with the version for the cases only
-    following = both.select("k1", "k2", *[take(c) for c in ("observed", "entry_id", "content", "dataless")], F.when(changed, F.col("new_path")).alias("path"), changed.alias("changed"))
-    target = store.version_path(run_id)
-    following.write.mode("overwrite").parquet(target)
+    # the path is kept with the version for the cases only; the two parts are folders, so that a state can go and its cases stay
+    following = both.select("k1", "k2", *[take(c) for c in ("observed", "entry_id", "content", "dataless")], F.when(changed, F.col("new_path")).alias("path"), F.coalesce(changed, F.lit(False)).alias("changed"))
+    data = store.versions.data_folder(number)
+    following.write.partitionBy("changed").parquet(data)
     if not succeeds:
         return None
-    store.commit(number, run_id, started)
-    return store.spark.read.schema(f"{STATE}, path string, changed boolean").parquet(target).where("changed").select(F.lit(run_id).cast("long").alias("run_id"), "path")
+    store.publish(number, data, run_id, started)
+    return store.cases(run_id)
 
 
 def replay(entries: DataFrame, runs: DataFrame, folder: str | None = None) -> DataFrame:
     """run_id, path of the cases of every run with status ok, the runs taken in the order of their starts.
 
-    Runs that did not succeed stop before their commit; those without a start see nothing. An empty table of either kind
-    gives no rows. The table of runs is a fixed log, which the driver walks.
+    Runs that did not succeed do their work too and stop before their commit; those without a start see nothing. An empty
+    table of either kind gives no rows. The table of runs is a fixed log, which the driver walks; the rows are first laid
+    out by the run that sees them first, so that a run reads no others.
     """
     spark = entries.sparkSession
     store = StateStore(spark, folder or new_folder(spark, "increments"))
-    rows = usable(entries)
-    known = runs.where("started is not null and run_id is not null").select("run_id", "status", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started")).distinct().orderBy("started", "run_id")
-    out = None
-    for r in known.collect():
-        if r.status != "ok":
-            continue  # a failed run leaves the state as it was; replaying its work would not change anything
-        cases = process(rows, store, r.run_id, r.started)
-        out = cases if out is None else out.unionByName(cases)
+    known = runs.where("started is not null and run_id is not null").select("run_id", "status", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started")).distinct().orderBy("started", "run_id").collect()
+    starts = F.array(*[F.lit(r.started).cast("timestamp_ntz") for r in known]).cast("array<timestamp_ntz>")
+    slot = F.size(F.filter(starts, lambda s: s < F.col("arrived")))
+    rows = materialize(usable(entries).withColumn("slot", slot).where(F.col("slot") < len(known)), "arrivals", by="slot")
+    out, seen, done = None, -1, set()
+    for i, r in enumerate(known):
+        if r.run_id in done:
+            continue  # a repetition of a run that has committed
+        mine = rows.where((F.col("slot") > seen) & (F.col("slot") <= i)).drop("slot")
+        cases = process(mine, store, r.run_id, r.started, r.status == "ok")
+        if r.status == "ok":
+            out, seen = cases if out is None else out.unionByName(cases), i
+            done.add(r.run_id)
     return out if out is not None else spark.createDataFrame([], "run_id long, path string")
 
 

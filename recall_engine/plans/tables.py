@@ -52,12 +52,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in a folder for each value of the column by if one is named, and return a scan of it."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_folder"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that materialize() gave, once nothing reads them any more, so that a lasting driver keeps no disk."""
+    for df in tables:
+        path = df.__dict__.pop("_folder", None)
+        if path:
+            remove(df.sparkSession, path)
+            _made[:] = [x for x in _made if x[1] != path]
 
 
 def spread(rows: DataFrame) -> DataFrame:
