@@ -74,7 +74,7 @@ class StateStore:
         """Make a version the current one and remove what no run can need any more."""
         if not self.versions.publish(number, data, run_id=run_id, seen=seen):
             raise RuntimeError(f"another run has committed version {number} of {self.folder}")
-        self.versions.drop_abandoned(number)
+        self.versions.drop_abandoned(number - 1)
         if number >= 2:
             self.versions.drop(f"{self.versions.commit_of(number - 2)['data']}/changed=false")
 

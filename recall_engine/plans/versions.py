@@ -76,7 +76,10 @@ class Versions:
         remove(self.spark, path)
 
     def drop_abandoned(self, number: int) -> None:
-        """Remove the folders of attempts at a version that another attempt published."""
+        """Remove the folders of attempts at a version that another attempt published, if there is that version. Call it for
+        the version before the last: attempts at the last may still be under way, to be refused when they end."""
+        if number < 0:
+            return
         kept = self.commit_of(number)["data"].rsplit("/", 1)[-1]
         for name in self._names(f"data-{number:09d}-"):
             if name != kept:

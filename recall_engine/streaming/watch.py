@@ -6,23 +6,38 @@ the catalogue in a micro-batch. Watermarks for late events are an extension of w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import threading
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recall_engine.plans.tables import new_folder
+from recall_engine.plans.versions import Versions
 
 #: Quiet time that ends a batch of events, and the age at which late ones are given up.
 QUIET, LATE = "2 seconds", "10 minutes"
+#: Seconds between two full scans that mend what lost events left, and pause before a failed stream is started again.
+RECONCILE, PAUSE = 6 * 3600.0, 2.0
 DAY = 86_400.0
 
 
 def debounced(events: DataFrame, quiet: str = QUIET) -> DataFrame:
-    """root, first, events, paths of each run of events of a root without a pause of quiet; works on batches and streams."""
+    """root, first, events, paths (distinct ones, without null) of each run of events of a root without a pause of quiet.
+
+    Works on batches and streams, with the same numbers. A batch counts distinct paths through a second shuffle, so a
+    root that never pauses gathers nothing in one task; a stream keeps 64-bit hashes of a run's paths in its state until
+    the run ends, eight bytes for each.
+    """
     rows = events.where("root is not null").withColumn("at", F.col("arrived").cast("timestamp"))
     if events.isStreaming:
         rows = rows.withWatermark("at", LATE)
-        return rows.groupBy("root", F.session_window("at", quiet)).agg(F.min("at").alias("first"), F.count("*").alias("events"), F.approx_count_distinct("path").alias("paths")).drop("session_window")
-    grouped = rows.groupBy("root", F.session_window("at", quiet)).agg(F.min("arrived").alias("first"), F.count("*").alias("events"), F.collect_set("path").alias("p"))
-    return grouped.select("root", "first", "events", F.size("p").cast("long").alias("paths"))
+        paths = F.size(F.collect_set(F.when(F.col("path").isNotNull(), F.xxhash64("path"))))
+    else:
+        paths = F.count_distinct("path")
+    grouped = rows.groupBy("root", F.session_window("at", quiet)).agg(F.min("at").alias("first"), F.count("*").alias("events"), paths.cast("long").alias("paths"))
+    return grouped.select("root", F.col("first").cast("timestamp_ntz").alias("first"), "events", "paths")
 
 
 def distinct_paths(events: DataFrame) -> DataFrame:
@@ -41,32 +56,64 @@ _STATE = "path string, observed timestamp_ntz, entry_id long, size long, mtime d
 
 
 class StateTable:
-    """A table replaced as a whole by each micro-batch: a version per batch id, so a repeated batch changes nothing."""
+    """A table replaced as a whole by each micro-batch.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema, self.version = spark, folder, schema, -1
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.version}") if self.version >= 0 else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        if batch <= self.version:
-            return
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{batch}")
-        self.version = batch
+    Its version is found in the folder, so a restarted driver goes on where the last one stopped. A version tells the
+    batch and the stream it came from: a batch that is repeated after its commit changes nothing. Two writers may meet;
+    the one that comes second reads the new version and does its work again. One version is one write and one rename.
+    """
 
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.schema = spark, schema
+        self.versions = Versions(spark, folder)
 
-def stream_to_state(spark: SparkSession, path: str) -> DataFrame:
-    """Read a folder of scan rows as a stream, apply it to an empty state and return what it holds at the end.
+    def _read(self, at: dict | None) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(at["data"]) if at else self.spark.createDataFrame([], self.schema)
 
-    availableNow takes what is there in micro-batches and stops; a lasting watcher uses a trigger of QUIET instead.
+    def read(self) -> DataFrame:
+        return self._read(self.versions.current())
+
+    def update(self, change: Callable[[DataFrame], DataFrame], batch: int = -1, stream: str = "") -> bool:
+        """Put change(table) in place of the table; False if that batch of the stream is in it already."""
+        while True:
+            at = self.versions.current()
+            done = dict(at["batches"]) if at else {}
+            if batch >= 0 and done.get(stream, -1) >= batch:
+                return False
+            if batch >= 0:
+                done[stream] = batch
+            number = at["number"] + 1 if at else 0
+            data = self.versions.data_folder(number)
+            try:
+                change(self._read(at)).write.parquet(data)
+            except Exception:
+                if number in self.versions.numbers() or (self.versions.current() or {"number": -1})["number"] > number:
+                    continue  # another writer went on meanwhile, and what was read may be gone
+                raise
+            if self.versions.publish(number, data, batches=done):
+                # the version before may still be read
+                self.versions.drop_abandoned(number - 1)
+                self.versions.forget_before(number - 1)
+                return True
+            self.versions.drop(data)
+
+    def write(self, df: DataFrame, batch: int = -1, stream: str = "") -> bool:
+        return self.update(lambda _: df, batch, stream)
+
+
+def stream_to_state(spark: SparkSession, path: str, state: StateTable | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Read a folder of scan rows as a stream, apply it to a state and return what it holds at the end.
+
+    availableNow takes what is there in micro-batches and stops; called again with the same state and checkpoint it takes
+    what is new. Without them it starts empty. A lasting watcher is Watcher.
     """
     schema = spark.read.parquet(path).schema
-    table = StateTable(spark, new_folder(spark, "state"), _STATE)
+    table = state or StateTable(spark, new_folder(spark, "state"), _STATE)
+    progress = checkpoint or new_folder(spark, "progress")
     folder, pattern = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 16)
     events = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", pattern).parquet(folder)
-    query = events.writeStream.foreachBatch(lambda df, i: table.write(apply_events(table.read(), df), i)).option("checkpointLocation", new_folder(spark, "progress")).trigger(availableNow=True).start()
+    query = events.writeStream.foreachBatch(lambda df, i: table.update(lambda old: apply_events(old, df), i, progress)).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
     return table.read()
 
@@ -106,32 +153,101 @@ def apply_file_events(state: DataFrame, batch: DataFrame) -> DataFrame:
 def watch_files(spark: SparkSession, folder: str, state: StateTable, checkpoint: str, once: bool = True):
     """Keep a state table up to date with the events of a folder; once takes what is there, else every QUIET."""
     events = file_events(spark, folder)
-    writer = events.writeStream.foreachBatch(lambda df, i: state.write(apply_file_events(state.read(), df), i)).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(lambda df, i: state.update(lambda old: apply_file_events(old, df), i, checkpoint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=QUIET)).start()
 
 
+def reconcile(state: DataFrame, found: DataFrame, began: Column) -> DataFrame:
+    """The state after a full scan found(path, size, mtime, dataless) that began at a moment.
+
+    What the scan has counts, unless an event since then told something newer; a path it lacks is gone, unless an event
+    since then wrote it.
+    """
+    seen = found.where("path is not null").select("path", "size", "mtime", F.coalesce("dataless", F.lit(False)).alias("dataless"), began.alias("at"))
+    newer = state.where(F.col("at") > began)
+    return seen.join(newer.select("path"), "path", "left_anti").unionByName(newer.select("path", "size", "mtime", "dataless", "at"))
+
+
+class Watcher:
+    """Events of a folder kept in a state table until it is stopped.
+
+    A stream that fails is started again from its checkpoint after a pause. Every so many seconds a full scan (snapshot())
+    is taken, beside the stream, and mends what lost events left. Its jobs run in a pool of their own, so that searches
+    in another pool of a FAIR scheduler go first; a micro-batch takes a bounded number of files.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, state: StateTable, checkpoint: str, snapshot: Callable[[], DataFrame] | None = None, every: float = RECONCILE, pause: float = PAUSE, pool: str = "indexing"):
+        self.spark, self.folder, self.state, self.checkpoint = spark, folder, state, checkpoint
+        self.snapshot, self.every, self.pause, self.pool = snapshot, every, pause, pool
+        self.restarts = self.reconciled = 0
+        self._stop = threading.Event()
+        self._query = None
+
+    def stop(self) -> None:
+        """End the stream after its micro-batch, and run()."""
+        self._stop.set()
+        if self._query is not None:
+            self._query.stop()
+
+    def mend(self) -> None:
+        """One full scan now."""
+        began = F.lit(time.time()).cast("timestamp")
+        found = self.snapshot()
+        self.state.update(lambda old: reconcile(old, found, began))
+        self.reconciled += 1
+
+    def run(self) -> None:
+        """Watch until stop() is called, from this thread or another."""
+        context = self.spark.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", self.pool)
+        due = time.monotonic() + self.every
+        try:
+            while not self._stop.is_set():
+                self._query = watch_files(self.spark, self.folder, self.state, self.checkpoint, once=False)
+                try:
+                    while not self._stop.is_set() and not self._query.awaitTermination(max(0.1, min(1.0, self.every))):
+                        if self.snapshot is not None and time.monotonic() >= due:
+                            self.mend()
+                            due = time.monotonic() + self.every
+                except StreamingQueryException:
+                    self.restarts += 1
+                    self._stop.wait(self.pause)
+        finally:
+            if self._query is not None:
+                self._query.stop()
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Add searches or clicks to their log."""
     rows.write.mode("append").parquet(path)
 
 
-def stream_clicks(spark: SparkSession, path: str, now: float) -> DataFrame:
+#: The state of a stream of clicks: the use of a file (id, general), or a click that is counted (click); the other is null.
+_CLICKS = "id long, general double, click long"
+
+
+def stream_clicks(spark: SparkSession, path: str, now: float, state: StateTable | None = None, checkpoint: str | None = None) -> DataFrame:
     """id, general: use of files kept by a stream of clicks. The state holds each file's use as of the moment now, so a
-    batch only adds its own decayed clicks; clicks are told apart by id within a batch and against those seen before."""
+    batch only adds its own decayed clicks; clicks are told apart by id, within a batch (the earliest row counts) and
+    against those counted before. Use and counted clicks are one table, so a failure can't part them."""
     schema = spark.read.parquet(path).schema
-    use = StateTable(spark, new_folder(spark, "use"), "id long, general double")
-    seen = StateTable(spark, new_folder(spark, "seen"), "click long")
+    table = state or StateTable(spark, new_folder(spark, "use"), _CLICKS)
+    progress = checkpoint or new_folder(spark, "progress")
 
-    def add(batch: DataFrame, i: int) -> None:
-        rows = batch.dropDuplicates(["id"]).withColumnRenamed("id", "click").join(seen.read(), "click", "left_anti")
+    def add(old: DataFrame, batch: DataFrame) -> DataFrame:
+        counted = old.where("click is not null")
+        one = batch.where("id is not null").groupBy(F.col("id").alias("click")).agg(F.min(F.struct("ts", "file_id")).alias("x")).select("click", "x.ts", "x.file_id")
+        rows = one.join(counted.select("click"), "click", "left_anti")
         at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
         fresh = rows.where(at > now - 365 * DAY).groupBy(F.col("file_id").alias("id")).agg(F.sum(0.3 * F.exp(-(F.lit(now) - at) / DAY / 30)).alias("general"))
-        use.write(use.read().unionByName(fresh).groupBy("id").agg(F.sum("general").alias("general")), i)
-        seen.write(seen.read().unionByName(rows.select("click")).distinct(), i)
+        use = old.where("click is null").select("id", "general").unionByName(fresh).groupBy("id").agg(F.sum("general").alias("general"))
+        none = F.lit(None)
+        return use.withColumn("click", none.cast("long")).unionByName(counted.unionByName(rows.select(none.cast("long").alias("id"), none.cast("double").alias("general"), "click")))
 
     folder, pattern = path.rsplit("/", 1)
     source = spark.readStream.schema(schema)
     events = source.option("pathGlobFilter", "*.parquet").parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", pattern).parquet(folder)
-    query = events.writeStream.foreachBatch(add).option("checkpointLocation", new_folder(spark, "progress")).trigger(availableNow=True).start()
+    query = events.writeStream.foreachBatch(lambda df, i: table.update(lambda old: add(old, df), i, progress)).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
-    return use.read()
+    return table.read().where("click is null").select("id", "general")

@@ -6,7 +6,6 @@ from recall_engine import registry
 from recall_engine.engine import Engine
 from recall_engine.operators import catalog as C, fusion as R, models as M, present as P, semantic as S
 from recall_engine.queries import NOW
-from recall_engine.streaming import watch
 
 
 @pytest.fixture(scope="module")
@@ -59,31 +58,6 @@ def test_models_of_pairs(spark):
     assert {r.id: r.logit for r in M.score_pairs(pairs, load).collect()} == {2: 3.0, 3: 0.0}
 
 
-def test_debounce_is_the_same_streamed(spark, tiny, tmp_path):
-    rows = spark.read.parquet(f"{tiny}/scan_entries.parquet")
-    assert watch.debounced(rows).agg(F.sum("events")).first()[0] == rows.where("root is not null").count()
-    rows.select("root", "path", "arrived").write.parquet(str(tmp_path / "in"))
-    stream = watch.debounced(spark.readStream.schema("root string, path string, arrived timestamp_ntz").parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.sql("select count(*) from quiet").first()[0] >= 0
-
-
-def test_file_events(spark, tmp_path):
-    ev = lambda kind, path, at, target=None: (kind, path, target, 1, 1.0, False, at)
-    cast = lambda rows: spark.createDataFrame(rows, "event string, path string, target string, size long, mtime double, dataless boolean, t long").select("*", F.timestamp_seconds("t").alias("at")).drop("t")
-    first = [ev("created", "/a/x", 1), ev("created", "/a/y", 1), ev("created", "/ab", 1), ev("opened", "/zz", 1)]
-    second = [ev("deleted", "/a", 5), ev("modified", "/a/y", 6), ev("moved", "/ab", 7, "/new"), ev("deleted", "/nothing", 7)]
-    state = watch.StateTable(spark, str(tmp_path / "state"), "path string, size long, mtime double, dataless boolean, at timestamp")
-    for rows in (first, second):
-        cast(rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        watch.watch_files(spark, str(tmp_path / "in"), state, str(tmp_path / "progress")).awaitTermination()
-    assert {r.path for r in state.read().collect()} == {"/a/y", "/new"}
-    watch.append_log(state.read(), str(tmp_path / "log"))
-    watch.append_log(state.read(), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
-
-
 def test_progress_and_pooling(spark):
     percent, left = C.progress(25.0, 100.0, 20.0, 10.0)
     early = C.progress(25.0, 100.0, 20.0, 1.0)[1]
