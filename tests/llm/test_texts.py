@@ -234,12 +234,42 @@ def test_spam(spark):
     assert spam.scores(rows.limit(0)).count() == 0
 
 
-def test_spam_without_counts_of_pairs(spark):
-    rows = spark.createDataFrame([(1, 20, None, 0.9, 0.0, 0.0), (2, 20, None, 0.9, 0.0, 0.5), (3, 20, 9.0, 0.9, 0.0, 0.0)], "doc_id long, words long, list_pmi double, listed double, linked double, repeated double")
-    assert {r.doc_id: r.spam for r in rows.select("doc_id", spam.is_spam().alias("spam")).collect()} == {1: False, 2: True, 3: True}
+def test_information_decides(spark):
+    """Without the evidence of pairs other documents would be found: the measure is needed."""
+    scored = spam.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where(F.col("words") >= spam.LEAST)
+    found = {r.doc_id for r in scored.where(spam.is_spam()).collect()}
+    without = {r.doc_id for r in scored.where(F.col("listed") > spam.SPAM).collect()}
+    links = {r.doc_id for r in scored.where(F.col("listed") + F.col("linked") > spam.SPAM).collect()}
+    assert found - without and found - links
+
+
+def test_lists_without_evidence_are_no_spam(spark):
+    rows = spark.createDataFrame([(20, 0.55, 0.0), (20, 0.55, 0.2), (5, 1.0, 1.0)], "words long, listed double, evidence double")
+    assert [r[0] for r in rows.select(spam.is_spam()).collect()] == [False, True, False]
+
+
+def test_information_against_brute_force(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    texts = ["alpha beta gamma alpha beta", "beta gamma delta", "delta alpha beta", "epsilon zeta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(spam, "COMMON", 2.0)  # no word is common, so that every pair is in a list
+    one, two = Counter(w for t in texts for w in t.split()), Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    total = sum(one.values())
+    pmi = lambda p: math.log2(two[p] * total / (one[p[0]] * one[p[1]]))
+    mean = math.log2(total) + sum(n * math.log2(n) for n in two.values()) / sum(two.values()) - 2 * sum(n * math.log2(n) for n in one.values()) / total
+    for small in (spam.SMALL, 0):
+        monkeypatch.setattr(spam, "SMALL", small)
+        got = {r.doc_id: r for r in spam.scores(rows).collect()}
+        for i, t in enumerate(texts):
+            pairs = list(zip(t.split(), t.split()[1:], strict=False))
+            assert got[i].list_pmi == pytest.approx(sum(map(pmi, pairs)) / len(pairs)) and got[i].corpus_pmi == pytest.approx(mean)
+            odd = [p for p in pairs if pmi(p) - mean > spam.BOUND or (pmi(p) > mean and pairs.count(p) > 1) or pmi(p) - mean < -spam.LOOSE]
+            assert got[i].evidence == pytest.approx(len(odd) / len(pairs)) and got[i].listed == 1
 
 
 def test_counts_are_whole(spark):
     texts = spark.createDataFrame([("a b a",), ("b a",), ("a b",)], "text string").repartition(3)
-    got = {r.n for r in spam.counts(texts.where(F.length("text") > 0), 1).collect()}
-    assert sorted(r.n for r in spam.counts(texts, 1).collect()) == [2, 2, 3, 4, 7] and 7 in got
+    rows = spam.counts(texts).collect()
+    assert sorted(r.n for r in rows) == [2, 2, 3, 4, 7] and [(r.n, r.docs) for r in rows if r.key == 0] == [(7, 3)]
