@@ -1,9 +1,10 @@
 """Problem 7: text that was decoded with the wrong character encoding.
 
 Method: round-trip repair. Text is re-encoded under candidate legacy encodings and strictly decoded as the intended
-encoding; this is repeated for nested layers, and a step is accepted when a garbling cost drops. UTF-8 that was read as
-a legacy encoding is found sequence by sequence, so passages inside correct text are repaired too. Text of one legacy
-encoding read as another is repaired sentence by sentence, with the pair of encodings that lowers the cost most.
+encoding; this is repeated for nested layers, as many as there are, and a step is accepted when a garbling cost drops.
+UTF-8 that was read as a legacy encoding is found sequence by sequence, so passages inside correct text are repaired too.
+Text of one legacy encoding read as another is repaired sentence by sentence, with the pair of encodings that lowers the
+cost most, and line by line where the script is another one; this also in texts that had layers.
 """
 
 from __future__ import annotations
@@ -25,7 +26,13 @@ CONFUSED = (
     ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("latin-1", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("latin-1", "cp850"),
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("mac_roman", "cp850"), ("cp850", "mac_roman"), ("cp1253", "cp1252"), ("iso8859-5", "cp1252"),
 )
-LAYERS = 5
+#: (read as, written in) of texts in another script.
+SCRIPTS = (
+    ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "cp1253"), ("latin-1", "cp1253"),
+    ("latin-1", "shift_jis"), ("cp1252", "shift_jis"), ("latin-1", "euc_jp"), ("cp1252", "euc_jp"), ("latin-1", "gbk"), ("cp1252", "gbk"),
+)
+#: Cost of a character in a sequence that reads as UTF-8: such sequences hardly ever come by chance.
+SEQUENCE = 1.0
 #: Drop of the cost at which the reading of a text as another legacy encoding counts as shown.
 DROP = 2.0
 
@@ -84,9 +91,9 @@ def _accident(text: str, m: re.Match, new: str, alone: bool) -> bool:
     return run[0] == "Ä" and (before.isupper() and run[1] in "…“”»\u00a0" or before != "" and before in _OPEN + "„" and run[1] in _SHUT + "“…\u00a0")
 
 
-def _unlayer(text: str) -> tuple[str, int]:
-    """Text with one layer of UTF-8 read as a legacy encoding undone, and the number of sequences; the best reading wins."""
-    best, most = text, 0
+def _readings(text: str) -> list[tuple[str, int]]:
+    """For each encoding UTF-8 may have been read as: the text with its sequences undone, and their characters."""
+    out = []
     runs = "\n".join(_RUN.findall(text))
     for name, pattern, back in _readers():
         if not runs or not pattern.search(runs):
@@ -110,9 +117,31 @@ def _unlayer(text: str) -> tuple[str, int]:
             return new
 
         new = pattern.sub(swap, text)
-        if done > most:
-            best, most = new, done
-    return best, most
+        if done:
+            out.append((new, done))
+    return out
+
+
+def layer_cost(text: str, readings: list[tuple[str, int]]) -> float:
+    """Garbling cost of a text with its readings: that of its words, and of the characters that read as UTF-8."""
+    return cost(text) + SEQUENCE * max((n for _, n in readings), default=0)
+
+
+def _unlayer(text: str) -> tuple[str, int]:
+    """Text with its layers of UTF-8 read as a legacy encoding undone, and their number.
+
+    Of the readings of a layer that cost less than the text as it is, the one is taken that undoes the most characters, of
+    several the one of least cost. As the cost falls with every layer, this ends.
+    """
+    layers, readings = 0, _readings(text)
+    here = layer_cost(text, readings)
+    while True:
+        tried = [(done, new, _readings(new)) for new, done in readings]
+        better = [(-done, there, i) for i, (done, new, again) in enumerate(tried) if (there := layer_cost(new, again)) < here]
+        if not better:
+            return text, layers
+        _, here, i = min(better)
+        text, readings, layers = tried[i][1], tried[i][2], layers + 1
 
 
 def _letter(c: str) -> bool:
@@ -219,43 +248,108 @@ def _unconfuse(text: str) -> tuple[str, float]:
     costs = [cost(x) if not x.isascii() else 0.0 for x in parts]
     if not any(costs):
         return text, 0.0
-    best, most = text, 0.0
+    best, most, pair = text, 0.0, None
     for read, written in CONFUSED:
         drop, shown, new = 0.0, 0.0, []
         for part, before in zip(parts, costs, strict=True):
             if before:
                 again = _reread(part, read, written)
-                if again is None or any(word_cost(x) > word_cost(w) for w, x in _changed(part, again)):  # a mixed sentence: word by word
-                    again = _WORD.sub(lambda m: x if (x := _reread(m.group(), read, written)) is not None and word_cost(x) < word_cost(m.group()) else m.group(), part)
+                if again is None or any(word_cost(x) > word_cost(w) for w, x in _changed(part, again)):  # perhaps a mixed sentence: word by word
+                    single = _WORD.sub(lambda m: x if (x := _reread(m.group(), read, written)) is not None and word_cost(x) < word_cost(m.group()) else m.group(), part)
+                    again = single if again is None or cost(single) < cost(again) - DROP / 4 else again
                 after = cost(again)
                 if after < before:
                     shown += sum(max(0.0, shown_cost(w) - word_cost(x)) for w, x in _changed(part, again))
                     drop, part = drop + before - after, again
             new.append(part)
         if drop > most + 1e-9 and shown >= DROP / 2:
-            best, most = "".join(new), drop
+            best, most, pair = "".join(new), drop, (read, written)
+    if pair:  # sentences that cost nothing as they are, in a line whose others were garbled
+        lines = list(zip(text.split("\n"), best.split("\n"), strict=True))
+        whole = [_reread(old, *pair) if old != new else None for old, new in lines]
+        best = "\n".join(w if w is not None and cost(w) <= cost(new) else new for (_, new), w in zip(lines, whole, strict=True))
+    return best, most
+
+
+_UNLATIN = re.compile(r"[^\W\d_\x00-\x7f]{4,}")
+_FOREIGN = re.compile("[^\x00-\x7f]{4,}")
+# Fixed value: letters that are rare in Russian, each under two in a hundred.
+_RARE = "бгжзйфхцчшщъэюБГЖЗЙФХЦЧШЩЪЭЮ"
+_CYRILLIC, _GREEK, _LATIN = re.compile("[\u0400-\u045f]"), re.compile("[\u0386-\u03ce]"), re.compile("[\u00aa\u00b5\u00ba\u00c0-\u024f]")
+_KANA, _HAN = re.compile("[\u3041-\u30fe]"), re.compile("[\u4e00-\u9fa5]")
+
+
+def script_cost(line: str) -> float:
+    """How unlikely the scripts of a line are: Latin words without a plain letter, capitals inside words, rare letters,
+    control characters and signs in runs."""
+    total = 0.0
+    for run in _FOREIGN.findall(line):
+        letters = sum(c.isalpha() for c in run)
+        total += 0.5 * (len(run) - letters) + 3.0 * sum("\x80" <= c < "\xa0" for c in run)
+        for word in _UNLATIN.findall(run):
+            if _LATIN.match(word):
+                total += 0.5 * len(word)
+            elif _CYRILLIC.match(word):
+                total += sum(0.5 for c in word if c in _RARE) + sum(1.0 for c, d in zip(word, word[1:], strict=False) if c.islower() and d.isupper()) + sum(1.0 for c in word if not "а" <= c.lower() <= "ё")
+            elif _GREEK.match(word):
+                total += sum(1.0 for c, d in zip(word, word[1:], strict=False) if c.islower() and d.isupper())
+            elif not _KANA.search(line):
+                total += 0.2 * len(word)  # Chinese characters without kana come more easily by chance
+    return total
+
+
+def _other_script(line: str) -> tuple[str, float]:
+    """A line reread under the pair of encodings that lowers its cost most, and the drop. What comes out must be letters
+    of the script, all but a few; a line without four characters beyond ASCII in a row can't have them."""
+    best, most = line, 0.0
+    before = script_cost(line)
+    if before < DROP:
+        return best, most
+    for read, written in SCRIPTS:
+        try:
+            new = line.encode(read).decode(written)
+        except UnicodeError:
+            continue
+        beyond = [c for c in new if c > "\x7f"]
+        own = _CYRILLIC if written in ("cp1251", "koi8-r", "cp866") else _GREEK if written == "cp1253" else None
+        right = sum(1 for c in beyond if (own.match(c) if own else _KANA.match(c) or _HAN.match(c) or c in "、。「」・ー"))
+        if len(beyond) < 4 or right < 0.9 * len(beyond):
+            continue
+        drop = before - script_cost(new)
+        if drop > most + 1e-9:
+            best, most = new, drop
     return best, most
 
 
+def _unscript(text: str) -> tuple[str, float]:
+    """Text with lines of another script reread, and the sum of the drops."""
+    if not _FOREIGN.search(text):
+        return text, 0.0
+    total, out = 0.0, []
+    for line in text.split("\n"):
+        if _FOREIGN.search(line) and 2 * max((n for _, n in _readings(line)), default=0) < sum(c > "\x7f" for c in line):  # else it is UTF-8
+            new, drop = _other_script(line)
+            if drop >= DROP:
+                line, total = new, total + drop
+        out.append(line)
+    return "\n".join(out), total
+
+
 #: What a lost byte leaves behind of a sequence: its first character alone, or the first two of three.
 _LOST = re.compile(r"â€|(?<![\w'’\"])[ÃÂ](?=\s|$|\d)|(?<![A-ZÀ-Þ])Ã(?=[\sa-z])|(?<=[a-z])[ÃÂ](?=[\s,.;:!?]|$)|(?<=[a-zA-Z])√(?=[a-zA-Z])")
 
 
 def repair(text: str) -> tuple[str, int, float, bool]:
     """The text as far as it can be restored, layers undone, drop of the cost of rereading, whether characters are lost."""
-    layers = 0
-    while layers < LAYERS:
-        new, done = _unlayer(text)
-        if not done:
-            break
-        text, layers = new, layers + 1
-    lost = "�" in text or bool(_LOST.search(text))
+    text, drop = _unscript(text)
+    text, layers = _unlayer(text)
+    lost = "\ufffd" in text or bool(_LOST.search(text))
     if layers and lost:
-        text = re.sub(r"(?<![\w'’\"])Ã(?=\s)", "à", text)
-    drop = 0.0
-    if not layers:
-        new, drop = _unconfuse(text)
-        text = new if drop >= DROP else text
+        text = re.sub(r"(?<![\w'’\"])Ã(?=\s)", "à", text)  # the second byte was a no-break space, since made a plain one
+    for step in (_unscript, _unconfuse):
+        new, fell = step(text)
+        if fell >= DROP:
+            text, drop = new, drop + fell
     return text, layers, drop, lost or (not layers and bool(re.search("[\x80-\x84\x86-\x9f]", text)))
 
 

@@ -183,6 +183,60 @@ def test_nested_layers():
     assert new == SENTENCE and layers == 2
 
 
+@pytest.mark.parametrize("layers", [3, 5, 7, 9])
+def test_any_number_of_layers(layers):
+    bad = SENTENCE
+    for _ in range(layers):
+        bad = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in bad.encode("utf-8"))
+    new, found, *_ = mojibake.repair("Début. " + bad)
+    assert new == "Début. " + SENTENCE and found == layers
+
+
+RUSSIAN = "Справка выдана по месту требования, оплата прошла в среду после обеда."
+
+
+@pytest.mark.parametrize(
+    ("good", "read", "written"),
+    [
+        (RUSSIAN, "cp1251", "koi8-r"), (RUSSIAN, "koi8-r", "cp1251"), (RUSSIAN, "latin-1", "cp1251"), (RUSSIAN, "latin-1", "koi8-r"), ("Η πληρωμή έγινε την Τρίτη μετά το μεσημέρι.", "latin-1", "cp1253"),
+        ("こんにちは、これは会議の記録です。", "latin-1", "shift_jis"), ("こんにちは、これは会議の記録です。", "latin-1", "euc_jp"),
+    ],
+)
+def test_other_scripts(good, read, written):
+    bad = good.encode(written).decode(read)
+    new, _, drop, _ = mojibake.repair(f"Bonjour,\n{bad}\nà bientôt")
+    assert new == f"Bonjour,\n{good}\nà bientôt" and drop >= mojibake.DROP
+    assert mojibake.repair(f"Bonjour,\n{good}\nà bientôt")[0] == f"Bonjour,\n{good}\nà bientôt" and mojibake.repair(good)[2] < mojibake.DROP
+
+
+def test_a_layer_and_a_passage_of_a_legacy_encoding():
+    legacy = "Le dîner préparé était réglé, déjà très complète, après vérification."
+    bad = "".join(c if c.isascii() else c.encode("cp1252").decode("mac_roman") for c in legacy)
+    layer = SENTENCE.encode("utf-8").decode("cp1252", "replace")
+    new, layers, drop, _ = mojibake.repair(f"{layer}\n{bad}")
+    assert new == f"{SENTENCE}\n{legacy}" and layers == 1 and drop >= mojibake.DROP
+
+
+def test_restored_texts_of_the_corpus():
+    """Share of passages of the table that come back as they were, garbled in each way."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/lexical_index.parquet", columns=["content"])["content"].to_pylist()
+    lines = [x for t in table if t for x in t.split("\n") if len(re.findall("[à-ÿ]", x)) >= 3 and mojibake.repair(x)[1:] == (0, 0.0, False)][:400]
+    assert len(lines) > 200
+    for read in mojibake.READ_AS:
+        tried = [(x, b) for x in lines if "\ufffd" not in (b := x.encode("utf-8").decode(read, "replace"))]
+        assert len(tried) < 50 or sum(mojibake.repair(b)[0] == x for x, b in tried) >= 0.97 * len(tried), read
+    for read, written, share in (("mac_roman", "cp1252", 0.95), ("cp1252", "mac_roman", 0.8), ("cp850", "cp1252", 0.8), ("cp1252", "cp850", 0.65)):
+        tried = []
+        for x in lines:
+            try:
+                tried.append((x, "".join(c if c.isascii() else c.encode(written).decode(read) for c in x)))
+            except UnicodeError:
+                continue
+        assert sum(mojibake.repair(b)[0] == x for x, b in tried) >= share * len(tried), (read, written, sum(mojibake.repair(b)[0] == x for x, b in tried) / len(tried))
+
+
 @pytest.mark.parametrize(("read", "written"), [("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252")])
 def test_legacy_read_as_legacy(read, written):
     text = "Le dîner préparé était réglé, déjà très complète, après vérification."
