@@ -134,7 +134,7 @@ def _unlayer(text: str) -> tuple[str, int]:
     several the one of least cost. As the cost falls with every layer, this ends.
     """
     layers, readings = 0, _readings(text)
-    here = layer_cost(text, readings)
+    here = layer_cost(text, readings) if readings else 0.0
     while True:
         tried = [(done, new, _readings(new)) for new, done in readings]
         better = [(-done, there, i) for i, (done, new, again) in enumerate(tried) if (there := layer_cost(new, again)) < here]
