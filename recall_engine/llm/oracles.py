@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of the queries which SQL can express."""
 
-from recall_engine.llm.ranking import P4_SQL
+from recall_engine.llm.ranking import P4_SQL, RANKING_SQL
 
 #: Words as TESTDATA.md defines them: the compatibility forms that occur are spelt out, as DuckDB has canonical forms only.
 _WORDS = """
@@ -40,8 +40,23 @@ WITH g AS (SELECT DISTINCT id, gram FROM ({_grams('lexical_index', 'id', 'conten
 SELECT id_a, id_b FROM shared JOIN sizes s ON s.id = id_a JOIN sizes t ON t.id = id_b WHERE c >= 0.6 * (s.n + t.n - c)
 """
 
+GROUPS_SQL = f"""
+WITH RECURSIVE g AS (SELECT DISTINCT id, gram FROM ({_grams('lexical_index', 'id', 'content', 3)}) x WHERE n >= 40),
+  sets AS (SELECT id, list_sort(list(gram)) AS grams FROM g GROUP BY id),
+  member AS (SELECT id, min(id) OVER (PARTITION BY grams) AS rep, count(*) OVER (PARTITION BY grams) - 1 AS copies FROM sets),
+  r AS (SELECT * FROM g WHERE id IN (SELECT rep FROM member)),
+  sizes AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+  shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM r a JOIN r b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id),
+  edge AS (SELECT a, b FROM shared JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b WHERE c >= 0.6 * (s.n + t.n - c)),
+  ways AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+  reach AS (SELECT DISTINCT rep AS a, rep AS b FROM member UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+  label AS (SELECT a, min(b) AS g FROM reach GROUP BY a),
+  degree AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT id, g AS "group", coalesce(degree.n, 0) AS linked, copies FROM member JOIN label ON label.a = rep LEFT JOIN degree ON degree.a = rep WHERE coalesce(degree.n, 0) > 0 OR copies > 0
+"""
+
 P9_SQL = f"""
 SELECT DISTINCT d.doc_id, b.item_id FROM ({_grams('documents', 'doc_id', 'text', 13)}) d JOIN ({_grams('benchmark', 'item_id', 'text', 13)}) b ON d.gram = b.gram
 """
 
-ORACLES: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL}
+ORACLES: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_ranking": RANKING_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_groups": GROUPS_SQL, "p9_found": P9_SQL}

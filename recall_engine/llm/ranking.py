@@ -136,7 +136,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking(spark.read.parquet(f"{sf_dir}/hits.parquet"))
+    return ranking(spark.read.parquet(f"{sf_dir}/hits.parquet")).withColumn("closeness", F.round("closeness", 9))
 
 
 P4_SQL = """
@@ -151,3 +151,28 @@ WITH h AS (
 )
 SELECT search_id, id FROM pairs GROUP BY search_id, id HAVING min(points) >= 2
 """
+
+
+def _ranking_sql() -> str:
+    """The ranking in SQL, column by column: l and s are ranks (0 is best), c is the score."""
+    cols = {"l": 1, "s": 1, "c": -1}
+    bounds = ", ".join(f"quantile_disc({c}, {TAILS[0]}) AS {c}_lo, quantile_disc({c}, {TAILS[1]}) AS {c}_hi" for c in cols)
+    worst = lambda c, sign: f"{c}_hi + 1" if sign > 0 else f"{c}_lo - ({c}_hi - {c}_lo) / greatest(n, 2)"
+    wins = ", ".join(f"coalesce(CASE WHEN {c} IS NULL THEN {worst(c, x)} ELSE least(greatest({c}, {c}_lo), {c}_hi) END{' + 1' if x > 0 else ''}, 0.0) AS {c}_w" for c, x in cols.items())
+    totals = ", ".join(f"min({c}_w) OVER p AS {c}_min, max({c}_w) OVER p AS {c}_max, sqrt(sum({c}_w * {c}_w) OVER p) AS {c}_norm" for c in cols)
+    away = lambda c, end: f"power(({c}_w - {c}_{end}) / CASE WHEN {c}_norm > 0 THEN {c}_norm ELSE 1.0 END, 2)"
+    ideal = " + ".join(away(c, "min" if x > 0 else "max") for c, x in cols.items())
+    anti = " + ".join(away(c, "max" if x > 0 else "min") for c, x in cols.items())
+    return f"""
+WITH h AS (
+  SELECT search_id, id, CAST(min(lex_rank) AS DOUBLE) AS l, CAST(min(sem_rank) AS DOUBLE) AS s, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS c FROM hits
+  WHERE search_id IS NOT NULL AND id IS NOT NULL GROUP BY search_id, id
+), b AS (SELECT search_id, count(*) AS n, {bounds} FROM h GROUP BY search_id),
+w AS (SELECT search_id, id, {wins} FROM h JOIN b USING (search_id)),
+t AS (SELECT search_id, id, l_w, s_w, c_w, {totals} FROM w WINDOW p AS (PARTITION BY search_id)),
+d AS (SELECT search_id, id, sqrt({ideal}) AS far_best, sqrt({anti}) AS far_worst FROM t),
+r AS (SELECT search_id, id, round(CASE WHEN far_best + far_worst > 0 THEN far_worst / (far_best + far_worst) ELSE 0.0 END, 12) AS closeness FROM d)
+SELECT search_id, id, row_number() OVER (PARTITION BY search_id ORDER BY closeness DESC, id) AS position, round(closeness, 9) AS closeness FROM r"""
+
+
+RANKING_SQL = _ranking_sql()
