@@ -2,7 +2,9 @@
 
 Method: length-bucketed padded numpy matrices. The distinct pieces of a batch become rows of byte ids, bucketed by
 length and padded; in each round every row merges its leftmost pair of minimum rank, found through a hashed pair table,
-and rows are compacted; finished rows leave the matrix. No tokenizer library takes part.
+and rows are compacted; finished rows leave the matrix. A piece of LONG bytes or more, as of unbroken text, would take as
+many rounds as it has merges, each over its whole length; its pairs are kept in a heap instead, which gives the same
+merges in the same order. No tokenizer library takes part.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces kept between batches of one worker; the cache is emptied when it is full, results don't depend on it.
 CACHE = 400_000
+#: Bytes from which a piece is merged by a heap.
+LONG = 256
 _PAD = -1
 _NONE = np.int64(1) << 40
 
@@ -40,6 +45,7 @@ class PairTable:
         slot = (mix(key.view(np.uint64)) & self.mask).astype(np.int64)
         todo = np.arange(len(key))
         self.probes = 0
+        self.single: dict[int, int] = {}
         while len(todo):
             self.probes += 1
             at, first = np.unique(slot[todo], return_index=True)
@@ -67,6 +73,13 @@ class PairTable:
             todo, keys, slot = todo[on], keys[on], (slot[on] + 1) & int(self.mask)
         return flat.reshape(key.shape)
 
+    def one(self, left: int, right: int) -> int:
+        """The merge of a single pair, by the same table as a dictionary."""
+        if not self.single:
+            used = self.keys >= 0
+            self.single = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        return self.single.get(left << 32 | right, int(_NONE))
+
 
 @lru_cache(2)
 def load(path: str) -> tuple[np.ndarray, PairTable]:
@@ -90,32 +103,12 @@ def _parts(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[int, int,
     return ranks[parts[0]], ranks[parts[1]], rank
 
 
-def _round(matrix: np.ndarray, rank: np.ndarray, table: PairTable, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Merge in each row its leftmost pair of minimum rank, then compact. rank holds the merges of neighbours.
-
-    every: merge all occurrences of that pair from the left, which is the same, as a merge makes no pair of a lower
-    rank; it saves rounds in long rows.
-    """
+def _round(matrix: np.ndarray, rank: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """Merge in each row its leftmost pair of minimum rank, then compact. rank holds the merges of neighbours."""
     n, width = matrix.shape
     rows = np.arange(n)
     at = rank.argmin(1)
-    best = rank[rows, at]
-    if every:
-        hit = rank == best[:, None]
-        run = np.zeros(n, bool)
-        for j in range(width - 1):  # of overlapping occurrences, the first counts
-            run = hit[:, j] & ~run
-            hit[:, j] = run
-        drop = np.zeros((n, width), bool)
-        drop[:, 1:] = hit
-        merged = matrix.copy()
-        merged[:, :-1][hit] = np.broadcast_to(best[:, None], hit.shape)[hit]
-        order = np.argsort(drop, axis=1, kind="stable")
-        merged[drop] = _PAD
-        matrix = np.take_along_axis(merged, order, 1)
-        matrix = matrix[:, : int((matrix >= 0).sum(1).max())]
-        return matrix, table.find(matrix[:, :-1], matrix[:, 1:])
-    matrix[rows, at] = best
+    matrix[rows, at] = rank[rows, at]
     column = np.arange(width)
     source = np.minimum(column + (column > at[:, None]), width - 1)
     matrix = np.take_along_axis(matrix, source, 1)
@@ -129,6 +122,37 @@ def _round(matrix: np.ndarray, rank: np.ndarray, table: PairTable, every: bool)
     return matrix, rank
 
 
+def _merged(ids: np.ndarray, table: PairTable) -> np.ndarray:
+    """Ids of one long piece: of all neighbours the leftmost pair of minimum rank is merged until none is left.
+
+    Neighbours are linked, and a merge changes the two pairs beside it only, so n bytes take n log n steps.
+    """
+    n = len(ids)
+    rank = [*table.find(ids[:-1], ids[1:]).tolist(), int(_NONE)]
+    token, after, before = ids.tolist(), [*range(1, n), -1], list(range(-1, n - 1))
+    heap = [(r, i) for i, r in enumerate(rank) if r < _NONE]
+    heapify(heap)
+    while heap:
+        r, i = heappop(heap)
+        if rank[i] != r:
+            continue  # merged or changed since
+        j = after[i]
+        token[i], after[i], rank[j] = r, after[j], -1
+        if after[j] >= 0:
+            before[after[j]] = i
+        for left in (before[i], i):
+            if left >= 0:
+                new = table.one(token[left], token[after[left]]) if after[left] >= 0 else int(_NONE)
+                rank[left] = new
+                if new < _NONE:
+                    heappush(heap, (new, left))
+    out, i = [], 0
+    while i >= 0:
+        out.append(token[i])
+        i = after[i]
+    return np.array(out, np.int64)
+
+
 def encode_pieces(pieces: list[bytes], byte_ids: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Ids of pieces, flat and their counts, in the order given."""
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -136,9 +160,12 @@ def encode_pieces(pieces: list[bytes], byte_ids: np.ndarray, table: PairTable) -
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     ids, which = [data[begin[size == 1]]], [np.flatnonzero(size == 1)]
     count = np.where(size == 1, 1, 0)
-    bounds = [2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 40, 64]
-    while bounds[-1] <= int(size.max(initial=0)):
-        bounds.append(bounds[-1] * 2)
+    bounds = [2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 40, 64, 128, LONG]
+    for i in np.flatnonzero(size >= LONG).tolist():
+        whole = _merged(data[begin[i] : begin[i] + size[i]], table)
+        count[i] = len(whole)
+        ids.append(whole)
+        which.append(np.full(len(whole), i))
     for low, high in zip(bounds, bounds[1:], strict=False):
         whole = np.flatnonzero((size >= low) & (size < high))
         step = max(1, 500_000 // high)
@@ -160,7 +187,7 @@ def encode_pieces(pieces: list[bytes], byte_ids: np.ndarray, table: PairTable) -
                     live, matrix, rank = live[more], matrix[more], rank[more]
                 if len(live):
                     used = int((matrix >= 0).sum(1).max())
-                    matrix, rank = _round(matrix[:, :used], rank[:, : used - 1], table, used >= 64)
+                    matrix, rank = _round(matrix[:, :used], rank[:, : used - 1], table)
     flat, owner = np.concatenate(ids), np.concatenate(which)
     order = np.argsort(owner, kind="stable")
     return flat[order].astype(np.int32), count

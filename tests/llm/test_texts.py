@@ -2,6 +2,7 @@ import base64
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -58,6 +59,35 @@ def test_ids_are_those_of_the_library(library, texts):
         at += n
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="abcdeé日 ", min_size=2, max_size=900))
+def test_long_pieces_by_heap_or_matrix(text):
+    byte_ids, table = tokenizer.load(tokenizer.DEFAULT)
+    piece = text.encode()
+    got = tokenizer._merged(byte_ids[np.frombuffer(piece, np.uint8)], table).tolist()
+    matrix = byte_ids[np.frombuffer(piece, np.uint8)][None, :]
+    rank = table.find(matrix[:, :-1], matrix[:, 1:])
+    while matrix.shape[1] > 1 and rank.min() < tokenizer._NONE:
+        matrix, rank = tokenizer._round(matrix, rank, table)
+        matrix, rank = matrix[:, :-1], rank[:, :-1]
+    assert got == matrix[0].tolist()
+
+
+def test_unbroken_text_takes_no_time(library):
+    import random
+    import time
+
+    random.seed(1)
+    text = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    encode = tokenizer.Encoder()
+    encode([text[:300]])
+    began = time.perf_counter()
+    assert encode([text[:16_000]])[0].tolist() == library(text[:16_000])
+    assert time.perf_counter() - began < 2
+    assert encode([text])[0].tolist() == library(text)
+    assert time.perf_counter() - began < 30
+
+
 # ---------------------------------------------------------------- splitting
 
 
