@@ -164,6 +164,34 @@ def test_templates_and_slots(spark):
     slots = {(r.id, r.content) for r in markup.slots(table, scanned, found).collect()}
     assert (2, "2") in slots and (2, "texte 2") in slots
     assert markup.templates(markup.scan(table.limit(0))).count() == 0
+    assert markup.kinds(markup.scan(table.limit(0)), found).count() == 0
+
+
+def test_kinds_through_templates(spark):
+    page = "<html><body><p>{0}</p></body></html>"
+    rows = [(i, page.format(f"x {i}"), "html", "S/a") for i in range(3)] + [(3, page.format("un **mot** là"), "html", "S/a"), (4, "# seul\n\ntexte", "md", "S"), (4, "# seul\n\ntexte", "md", "S"), (None, "**a** b", "md", None)]
+    scanned = markup.scan(spark.createDataFrame(rows, "id long, content string, ext string, path string"))
+    got = [tuple(r) for r in markup.kinds(scanned, markup.templates(scanned)).collect()]
+    assert sorted(got, key=str) == sorted([(0, "html", "template"), (1, "html", "template"), (2, "html", "template"), (3, "html", "template"), (3, "markdown", "slot"), (4, "markdown", "alone"), (4, "markdown", "alone"), (None, "markdown", "alone")], key=str)
+
+
+def test_slots_of_nested_classes_and_repeated_tokens(spark):
+    row = "<li>{0}</li>"
+    page = "<html><body><ul>{0}</ul></body></html>"
+    rows = [(i, page.format("".join(row.format(f"p{i} n{j}") for j in range(3))), "html", "S/a") for i in range(4)] + [(9, "<html><body>seul</body></html>", "html", "S/a")]
+    table = spark.createDataFrame(rows, "id long, content string, ext string, path string")
+    scanned = markup.scan(table)
+    found = markup.templates(scanned)
+    assert found.where("parent is not null").count()
+    got = markup.slots(table, scanned, found).where("id = 2").orderBy("slot").collect()
+    assert [r.content for r in got] == ["p2 n0", "p2 n1", "p2 n2"]
+
+
+@pytest.mark.parametrize("text", ["a * b et *mot*", "```\nx = [1](2)\n```\nvoir [ici](http://a.test)", "== T ==\nx ''y''", "soit \\(\\int_0^{q} s\\,ds\\) et"])
+def test_marks_stand_where_they_are(text):
+    for begin, end, kind, token in markup.marks_of(text):
+        assert text[begin:].startswith(token[:1]) or token in ("==", "[h", "](") or kind == "latex", (begin, token)
+    assert markup.marks_of("a * b et *mot*")[0][0] == 9 and {k for k, _ in markup.tokens_of("soit \\(\\int_0^{q} s\\,ds\\) et")} == {"latex"}
 
 
 # ---------------------------------------------------------------- wrong decoding
