@@ -3,7 +3,9 @@
 Method: vantage-point trees per shard, with pruning by the triangle inequality. A tree over a bounded sample routes
 every vector to its shard and, as a query, to the shards its ball may reach; in a shard a tree of the same kind is
 walked by all queries at once, down to blocks that are compared by matrix products. A query leaves out a side if it is
-further from the boundary than FACTOR times its radius; factor one restores exact search.
+further from the boundary than FACTOR times its radius; factor one restores exact search. Equal vectors are one class,
+which is stored and searched once. A shard larger than a task should hold is split into blocks of its vectors and blocks
+of its queries, every pair of which is a task, so nothing is lost and no task grows with the collection.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from recall_engine.llm.words import mix
 from recall_engine.plans.links import expand
 from recall_engine.plans.tables import materialize
 
@@ -124,43 +127,113 @@ def _router(reps: DataFrame, dim: int, sample: int = SAMPLE, shard: int = SHARD)
     return Router(x, depth), x, n
 
 
-def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR, dim: int | None = None) -> DataFrame:
+class Plan:
+    """The routing tree, how far a query looks beyond a boundary, and the blocks each shard is split into."""
+
+    def __init__(self, router: Router, stored: np.ndarray, asked: np.ndarray, shard: int):
+        self.router = router
+        self.stored, self.asked = (np.maximum(1, -(-x // (2 * shard))).astype(np.int64) for x in (stored, asked))
+
+    def solo(self, shard: np.ndarray) -> np.ndarray:
+        return (self.stored[shard] == 1) & (self.asked[shard] == 1)
+
+    def spread(self, shard: np.ndarray, key: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and group keys of rows in a shard: a stored row meets every block of queries, a query every block of stored rows."""
+        mine, others = (self.stored, self.asked) if role == STORED else (self.asked, self.stored)
+        at = np.repeat(np.arange(len(shard)), others[shard])
+        other = np.arange(len(at)) - np.repeat(np.concatenate([[0], np.cumsum(others[shard])[:-1]]), others[shard]) if len(at) else at
+        own = (mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(8)).astype(np.int64)[at] % mine[shard[at]]
+        s, q = (own, other) if role == STORED else (other, own)
+        return at, (shard[at] << 40) | (s << 20) | q
+
+
+#: What a row of a group is there for.
+BOTH, STORED, ASKED = 0, 1, 2
+
+
+def _counted(rows: DataFrame, router: Router, margin_of, dim: int, shard: int) -> Plan:
+    """How many stored rows and queries each shard has, from one light pass; rows(key, file, ask, q)."""
+    held = rows.sparkSession.sparkContext.broadcast(router)
+    shards = 1 << router.depth
+
+    def run(batches):
+        tree = held.value
+        total = np.zeros((2, shards), np.int64)
+        for b in batches:
+            x, ask = _unit(_matrix(b.column(3), dim)), b.column(2).to_numpy()
+            total[0] += np.bincount(tree.homes(x[ask != ASKED]), minlength=shards)
+            i = np.flatnonzero(ask != STORED)
+            total[1] += np.bincount(tree.visits(x[i], margin_of(x[i], b.column(1).to_numpy()[i]))[1], minlength=shards)
+        at = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["shard", "stored", "asked"])
+
+    stored, asked = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+    counts = rows.mapInArrow(run, "shard long, stored long, asked long").groupBy("shard").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked")).toArrow()  # a row per shard
+    at = counts["shard"].to_numpy()
+    stored[at], asked[at] = counts["stored"].to_numpy(), counts["asked"].to_numpy()
+    return Plan(router, stored, asked, shard)
+
+
+def _routed(rows: DataFrame, plan: Plan, margin_of, dim: int) -> DataFrame:
+    """group, role, margin, key, file, q: rows(key, file, ask, q) once for each group they have a part in.
+
+    In a shard of one block a row that is stored and asked comes once for both.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches):
+        plan = held.value
+        for b in batches:
+            key, file, ask = (b.column(i).to_numpy() for i in range(3))
+            x = _unit(_matrix(b.column(3), dim))
+            home = plan.router.homes(x)
+            margin = np.zeros(len(x), np.float32)
+            asks = np.flatnonzero(ask != STORED)
+            margin[asks] = margin_of(x[asks], file[asks])
+            at, shard = plan.router.visits(x[asks], margin[asks])
+            at = asks[at]
+            both = (ask[at] == BOTH) & (shard == home[at]) & plan.solo(shard)
+            own = np.flatnonzero(ask != ASKED)
+            once = (ask[own] == BOTH) & plan.solo(home[own])
+            parts = [(own[once], home[own[once]] << 40, BOTH)]
+            for who, where, role in ((own[~once], home[own[~once]], STORED), (at[~both], shard[~both], ASKED)):
+                i, group = plan.spread(where, key[who], role)
+                parts.append((who[i], group, role))
+            who, group = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            role = np.concatenate([np.full(len(p[0]), p[2], np.int8) for p in parts])
+            taken = b.take(pa.array(who))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(role), pa.array(margin[who]), taken.column(0), taken.column(1), taken.column(3)], names=["group", "role", "margin", "key", "file", "q"])
+
+    return rows.mapInArrow(run, "group long, role byte, margin float, key long, file long, q array<tinyint>")
+
+
+def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR, dim: int | None = None, shard: int | None = None) -> DataFrame:
     """row_a, row_b, row_a < row_b: vectors of different files with at least that cosine.
 
     Equal vectors are one class that is searched once and expanded afterwards (see plans.links). Repeated rows count
     once, other columns are ignored, an empty table gives no rows. Copies of vectors are shuffled once to each shard
-    their ball may reach.
+    their ball may reach. The sample of the routing tree is collected and shards are counted while the plan is built.
     """
     kept, dim = live(vectors, dim)
     kept = kept.dropDuplicates(["row"])
     # q is the key of a class; a class of several files has no file of its own
     reps = materialize(kept.groupBy("q").agg(F.min("row").alias("rep"), F.count("*").alias("size"), F.min("file_id").alias("low"), F.max("file_id").alias("high")), "classes")
-    router, *_ = _router(reps, dim)
-    radius = float(np.sqrt(2 - 2 * cosine))
-    margin = factor * radius
-    held = vectors.sparkSession.sparkContext.broadcast(router)
-
-    def route(batches):
-        tree = held.value
-        for b in batches:
-            x = _unit(_matrix(b.column(2), dim))
-            home = tree.homes(x)
-            at, shard = tree.visits(x, np.full(len(x), margin, np.float32))
-            away = shard != home[at]
-            at, shard = np.concatenate([np.arange(len(x)), at[away]]), np.concatenate([home, shard[away]])
-            own = np.arange(len(at)) < len(x)
-            rows = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(own), *rows.columns], names=["shard", "own", "rep", "file", "q"])
+    shard = shard or SHARD
+    router, *_ = _router(reps, dim, shard=shard)
+    margin = factor * float(np.sqrt(2 - 2 * cosine))
+    margin_of = lambda x, file: np.full(len(x), margin, np.float32)
+    file = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1)).alias("file")
+    rows = reps.select(F.col("rep").alias("key"), file, F.lit(BOTH).cast("byte").alias("ask"), "q")
+    routed = _routed(rows, _counted(rows, router, margin_of, dim, shard), margin_of, dim)
 
     def compare(table: pa.Table) -> pa.Table:
-        q = _matrix(table["q"], dim)
-        x, own = _unit(q), table["own"].to_numpy()
-        rep, file = table["rep"].to_numpy(), table["file"].to_numpy()
-        inside = np.flatnonzero(own)
+        q, role = _matrix(table["q"], dim), table["role"].to_numpy()
+        x, rep, file = _unit(q), table["key"].to_numpy(), table["file"].to_numpy()
+        inside, asks = np.flatnonzero(role != ASKED), np.flatnonzero(role != STORED)
         out_a, out_b = [], []
 
         def visit(s: np.ndarray, k: np.ndarray) -> None:
-            s = inside[s]
+            s, k = inside[s], asks[k]
             for at in range(0, len(k), 8192):
                 part = k[at : at + 8192]
                 i, j = np.nonzero(x[part] @ x[s].T >= cosine - 1e-4)
@@ -174,55 +247,59 @@ def similar(vectors: DataFrame, cosine: float = COSINE, factor: float = FACTOR,
                 out_a.append(np.minimum(rep[a[keep]], rep[b[keep]]))
                 out_b.append(np.maximum(rep[a[keep]], rep[b[keep]]))
 
-        walk(x[inside], x, np.full(len(x), margin, np.float32), visit)
+        walk(x[inside], x[asks], np.full(len(asks), margin, np.float32), visit)
         pair = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.zeros((2, 0), np.int64)
         return pa.table({"rep_a": pair[0], "rep_b": pair[1]})
 
-    file = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1)).alias("file")
-    routed = reps.select("rep", file, "q").mapInArrow(route, "shard int, own boolean, rep long, file long, q array<tinyint>")
-    pairs = routed.groupBy("shard").applyInArrow(compare, "rep_a long, rep_b long").distinct()
+    pairs = routed.groupBy("group").applyInArrow(compare, "rep_a long, rep_b long").distinct()
     members = kept.join(reps.select("q", "rep", "size"), "q").select(F.col("row").alias("id"), "rep", "size", F.col("file_id").alias("tag"))
     return expand(pairs, materialize(members, "members")).select(F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b")).distinct()
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FACTOR_NEAREST, dim: int | None = None) -> DataFrame:
+def _representatives(kept: DataFrame, k: int) -> DataFrame:
+    """Of each class of equal vectors the rows that may be among the k smallest outside any one file: of each file its k
+    smallest, of the files the k + 1 with the smallest rows. The limits apply before the shuffles."""
+    place = F.row_number().over(Window.partitionBy("q", "file_id").orderBy("row"))
+    few = kept.withColumn("place", place).where(F.col("place") <= k)
+    heads = few.where("place = 1").withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy("row"))).where(F.col("turn") <= k + 1)
+    return few.drop("place").join(heads.select("q", "file_id"), ["q", "file_id"], "left_semi").select("row", "file_id", "q")
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FACTOR_NEAREST, dim: int | None = None, shard: int | None = None) -> DataFrame:
     """row_a, rank, row_b, cosine: of each row divisible by every, the k rows of other files with the largest cosine.
 
     A query's radius is the distance of its k-th nearest in the routing sample, which the k-th nearest of all can't
     exceed (of other files; a query with fewer of them in the sample searches everything). Ties go to the smaller row;
-    a row with fewer rows of other files has fewer neighbours. Every live row is searched.
+    a row with fewer rows of other files has fewer neighbours. Every live row is searched; of equal vectors those that
+    can't be an answer are left out beforehand, and equal vectors of one file are asked once.
     """
     kept, dim = live(vectors, dim)
     kept = materialize(kept.dropDuplicates(["row"]), "vectors")
-    router, _, n = _router(kept, dim)
-    rows = kept.orderBy(F.xxhash64("q"), "q").select("q", "file_id").limit(SAMPLE).toArrow()
-    seen = (_unit(_matrix(rows["q"], dim)) if n else np.zeros((0, dim), np.float32), rows["file_id"].to_numpy())
-    held = vectors.sparkSession.sparkContext.broadcast((router, seen))
-
-    def route(batches):
-        tree, (sample, files) = held.value
-        for b in batches:
-            x, file = _unit(_matrix(b.column(2), dim)), b.column(1).to_numpy()
-            home = tree.homes(x)
-            asks = np.flatnonzero(b.column(0).to_numpy() % every == 0)
-            radius = np.full(len(asks), 2.0, np.float32)
-            for at in range(0, len(asks), 512):
-                part = asks[at : at + 512]
-                c = np.where(file[part][:, None] == files[None, :], -2.0, x[part] @ sample.T)
-                if c.shape[1] >= k:
-                    best = np.partition(c, -k, axis=1)[:, -k]
-                    radius[at : at + 512] = np.where(best > -2, np.sqrt(np.maximum(2 - 2 * best, 0)), 2 / factor)
-            i, shard = tree.visits(x[asks], radius * factor)
-            at, shards = np.concatenate([np.arange(len(x)), asks[i]]), np.concatenate([home, shard])
-            own = np.arange(len(at)) < len(x)
-            margin = np.concatenate([np.zeros(len(x), np.float32), (radius * factor)[i]])
-            rows = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(own), pa.array(margin), *rows.columns], names=["shard", "own", "margin", "row", "file", "q"])
+    shard = shard or SHARD
+    stored = materialize(_representatives(kept, k), "stored")
+    router, *_ = _router(stored, dim, shard=shard)
+    rows = stored.orderBy(F.xxhash64("q"), "q", "row").select("q", "file_id").limit(SAMPLE).toArrow()
+    sample, files = _unit(_matrix(rows["q"], dim)) if rows.num_rows else np.zeros((0, dim), np.float32), rows["file_id"].to_numpy()
+    asked = kept.where(F.col("row") % every == 0)
+    groups = materialize(asked.groupBy("q", "file_id").agg(F.min("row").alias("rep")), "asked")
+    table = stored.select(F.col("row").alias("key"), F.col("file_id").alias("file"), F.lit(STORED).cast("byte").alias("ask"), "q")
+    table = table.unionByName(groups.select(F.col("rep").alias("key"), F.col("file_id").alias("file"), F.lit(ASKED).cast("byte").alias("ask"), "q"))
+    held = vectors.sparkSession.sparkContext.broadcast((sample, files))
+
+    def margin_of(x: np.ndarray, file: np.ndarray) -> np.ndarray:
+        sample, files = held.value
+        radius = np.full(len(x), 2 / factor, np.float32)
+        for at in range(0, len(x), 512):
+            c = np.where(file[at : at + 512][:, None] == files[None, :], -2.0, x[at : at + 512] @ sample.T)
+            if c.shape[1] >= k:
+                best = np.partition(c, -k, axis=1)[:, -k]
+                radius[at : at + 512] = np.where(best > -2, np.sqrt(np.maximum(2 - 2 * best, 0)), 2 / factor)
+        return radius * factor
 
     def compare(table: pa.Table) -> pa.Table:
-        x, own = _unit(_matrix(table["q"], dim)), table["own"].to_numpy()
-        row, file, margin = table["row"].to_numpy(), table["file"].to_numpy(), table["margin"].to_numpy()
-        inside, asks = np.flatnonzero(own), np.flatnonzero(~own)
+        x, role = _unit(_matrix(table["q"], dim)), table["role"].to_numpy()
+        row, file, margin = table["key"].to_numpy(), table["file"].to_numpy(), table["margin"].to_numpy()
+        inside, asks = np.flatnonzero(role == STORED), np.flatnonzero(role == ASKED)
         # the k-th nearest of the sample is among the rows, so nothing worse than it is needed
         radius = margin[asks] / factor
         least = np.where(radius < 2, 1 - radius * radius / 2 - 1e-5, -2).astype(np.float32)
@@ -262,12 +339,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FA
         walk(x[inside], x[asks], margin[asks], visit)
         shrink()
         a, c, w = found[0] if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        return pa.table({"row_a": row[asks][a], "row_b": w.astype(np.int64), "cosine": c.astype(np.float64)})
+        return pa.table({"rep": row[asks][a], "row_b": w.astype(np.int64), "cosine": c.astype(np.float64)})
 
-    routed = kept.select("row", "file_id", "q").mapInArrow(route, "shard int, own boolean, margin float, row long, file long, q array<tinyint>")
-    found = routed.groupBy("shard").applyInArrow(compare, "row_a long, row_b long, cosine double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row_a").orderBy(F.desc("cosine"), "row_b")))
-    return ranked.where(F.col("rank") <= k).select("row_a", "rank", "row_b", F.round("cosine", 5).alias("cosine"))
+    routed = _routed(table, _counted(table, router, margin_of, dim, shard), margin_of, dim)
+    found = routed.groupBy("group").applyInArrow(compare, "rep long, row_b long, cosine double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "row_b"))).where(F.col("rank") <= k)
+    every_row = asked.join(groups, ["q", "file_id"]).select(F.col("row").alias("row_a"), "rep")
+    return every_row.join(ranked, "rep").select("row_a", "rank", "row_b", F.round("cosine", 5).alias("cosine"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,49 @@ def test_factor_one_is_exact(spark, monkeypatch):
     assert V.similar(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [40, 100])
+def test_blocks_of_large_shards_lose_nothing(spark, monkeypatch, shard):
+    """The tree has one level only, so its shards are split into blocks."""
+    monkeypatch.setattr(V, "LEAF", 16)
+    q, rows, table = vectors(spark)
+    real = V.Router.__init__
+    monkeypatch.setattr(V.Router, "__init__", lambda self, sample, depth: real(self, sample, min(depth, 1)))
+    expected = pairs_of(q, rows, 0.9)
+    assert {tuple(r) for r in V.similar(table, factor=1.0, shard=shard).collect()} == expected
+    whole = sorted(map(tuple, V.nearest(table, k=3, factor=1.0).collect()))
+    assert sorted(map(tuple, V.nearest(table, k=3, factor=1.0, shard=shard).collect())) == whole
+
+
+def test_nearest_among_equal_vectors(spark):
+    q, far = [100] * 8, [-100, 100] * 4
+    rows = [(i, 1 if i < 50 else 2 + i % 7, q) for i in range(100)] + [(200, 1, far), (220, 3, [100] * 7 + [90])]
+    table = spark.createDataFrame(rows, "row long, file_id long, q array<int>").withColumn("q", F.col("q").cast("array<tinyint>"))
+    got = {}
+    for r in V.nearest(table, k=4, every=20, dim=8).orderBy("row_a", "rank").collect():
+        got.setdefault(r.row_a, []).append(r.row_b)
+    file = {r: f for r, f, _ in rows}
+    for a in (0, 20, 40, 60, 80):
+        assert got[a] == [r for r, f, v in rows if f != file[a] and v == q][:4]
+    assert got[220] == [r for r, f, v in rows if f != 3][:4] and len(got[200]) == 4
+
+
+def test_nearest_recall_over_shards(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/vectors.parquet")
+    live, dim = V.live(table)
+    data = live.toPandas()
+    x = np.array(data.q.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in V.nearest(table, k=10, shard=150).collect():
+        got.setdefault(r.row_a, set()).add(r.row_b)
+    hit = total = 0
+    for i in np.flatnonzero(data.row.to_numpy() % 20 == 0):
+        cos = np.where(data.file_id.to_numpy() == data.file_id[i], -2, x @ x[i])
+        order = np.lexsort((data.row.to_numpy(), -np.round(cos, 6)))[:10]
+        hit, total = hit + len(set(data.row.to_numpy()[order]) & got[data.row[i]]), total + 10
+    assert total and hit / total >= 0.95, hit / total
+
+
 def test_nearest_recall(spark):
     q, rows, table = vectors(spark, 500)
     got = {}
