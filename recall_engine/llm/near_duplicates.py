@@ -1,10 +1,11 @@
 """Problem 6: records whose texts are the same but for small edits, insertions or moved passages.
 
 Method: bit-sliced comparison. A text becomes 128 bits, each a bit of a minimum over its shingles, so that the expected
-share of equal bits is (1 + similarity) / 2. Texts that share two minima in any of 14 bands meet in a bucket; there the
-bits stand in vertical planes, many distances are updated at once by carry-save counters, and words of the block whose
-distances all exceed the radius are abandoned. What remains is checked exactly on the sets of shingles. A text as
-similar as the threshold (0.6) misses all bands with probability 0.64 ** 14 = 0.2 %, and the radius with 1 in 10 000.
+share of equal bits is (1 + similarity) / 2. Texts that share all minima of any band meet in a bucket; there the bits
+stand in vertical planes, many distances are updated at once by carry-save counters, and words of the block whose
+distances all exceed the radius are abandoned. What remains is checked exactly on the sets of shingles. Bands and their
+minima follow from the similarity (banding()): a pair that is just as similar misses all bands with probability 0.2 % at
+most (at 0.6, 14 bands of two minima), and the radius with 1 in 10 000.
 
 Equal sets of shingles are one class from the start: only its representative is compared.
 """
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recall_engine.llm.bitslice import group_pairs
 from recall_engine.llm.words import Words, mix, ragged, shingles, slices
 from recall_engine.plans.links import expand
-from recall_engine.plans.tables import materialize, spread
+from recall_engine.plans.tables import materialize, release, spread
 
-BITS, BANDS, ROWS = 128, 14, 2
+BITS = 128
+#: Probability at most that a pair of the similarity asked for meets in no band, and bands at most where a band has several minima.
+MISS, BANDS = 0.002, 20
 #: Distance in bits up to which a pair is checked exactly: mean and 4.3 standard deviations at similarity 0.6.
 RADIUS = 45
 #: Rows of a bucket that one task compares with each other; a larger bucket is split into blocks, each pair of blocks a task.
@@ -32,10 +35,26 @@ SMALL = 500_000
 _rng = np.random.default_rng(20240131)
 _MULTIPLIERS = _rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+
+
+def banding(similarity: float) -> tuple[int, int]:
+    """Number of bands and minima of each: the most minima with which few bands miss no more than MISS.
+
+    More minima let fewer dissimilar texts meet. A similarity so low that even BITS bands of one minimum would miss more
+    is refused.
+    """
+    bands = lambda rows: int(np.ceil(np.log(MISS) / np.log(1 - min(similarity, 1 - 1e-9) ** rows))) if similarity < 1 else 1
+    if not 0 < similarity <= 1 or bands(1) > BITS:
+        raise ValueError(f"similarity {similarity} is not between 0.05 and 1")
+    rows = max((r for r in range(1, 9) if bands(r) <= BANDS and bands(r) * r <= BITS), default=1)
+    return bands(rows), rows
+
+
 _SKETCHED = "id long, k1 long, k2 long, n int, sketch binary, bands array<long>, shingles array<int>"
 
 
-def _sketch(ids: pa.Array, texts: list[str], k: int, least: int) -> pa.RecordBatch:
+def _sketch(ids: pa.Array, texts: list[str], k: int, least: int, bands_of: tuple[int, int]) -> pa.RecordBatch:
+    many, rows = bands_of
     w = Words(texts)
     h, at = shingles(w, k)
     size = np.diff(at)
@@ -57,11 +76,11 @@ def _sketch(ids: pa.Array, texts: list[str], k: int, least: int) -> pa.RecordBat
         minima[j] = np.minimum.reduceat(h * _MULTIPLIERS[j], begin)
     bits = (mix(minima) >> np.uint64(20) & np.uint64(1)).astype(np.uint8)
     sketch = np.packbits(bits, axis=0, bitorder="little").T
-    bands = np.empty((n, BANDS), np.uint64)
-    for b in range(BANDS):
+    bands = np.empty((n, many), np.uint64)
+    for b in range(many):
         x = np.full(n, b + 1, np.uint64)
-        for r in range(ROWS):
-            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + minima[b * ROWS + r])
+        for r in range(rows):
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + minima[b * rows + r])
         bands[:, b] = x
     keys = [np.add.reduceat(mix(h ^ np.uint64(c)), begin).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
     flat = np.ascontiguousarray(sketch).tobytes()
@@ -73,20 +92,21 @@ def _sketch(ids: pa.Array, texts: list[str], k: int, least: int) -> pa.RecordBat
             pa.array(keys[1]),
             pa.array(size.astype(np.int32)),
             pa.array([flat[i * width : (i + 1) * width] for i in range(n)], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * many), pa.array(bands.ravel().view(np.int64))),
             pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)).astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))),
         ],
         names=["id", "k1", "k2", "n", "sketch", "bands", "shingles"],
     )
 
 
-def sketches(texts: DataFrame, k: int, least: int) -> DataFrame:
-    """Sketch, bands and shingles of every text (id, content) with at least so many words."""
+def sketches(texts: DataFrame, k: int, least: int, similarity: float = 0.8) -> DataFrame:
+    """Sketch, bands (of a similarity) and shingles of every text (id, content) with at least so many words."""
+    bands_of = banding(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, high in slices(b.column(1)):
-                yield _sketch(b.column(0).slice(low, high - low), b.column(1).slice(low, high - low).to_pylist(), k, least)
+                yield _sketch(b.column(0).slice(low, high - low), b.column(1).slice(low, high - low).to_pylist(), k, least, bands_of)
 
     return spread(texts).mapInArrow(run, _SKETCHED)
 
@@ -157,7 +177,7 @@ def links(records: DataFrame, id_column: str = "id", text_column: str = "content
         p = (1 - similarity) / 2
         radius = int(np.ceil(BITS * p + 4.3 * np.sqrt(BITS * p * (1 - p))))
     texts = records.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("content")).where("id is not null and length(content) > 0")
-    table = materialize(sketches(texts, k, least), "sketches")
+    table = materialize(sketches(texts, k, least, similarity), "sketches")
     reps = materialize(table.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.countDistinct("id").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "representatives")
     pairs = materialize(candidates(reps, radius), "candidates")
     needed = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
@@ -179,14 +199,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     round is a table in the shared folder. Labels are joined and reduced by shuffles; nothing is collected.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"), "edges")
-    labels = materialize(nodes.select("id", F.col("id").alias("group")).distinct(), "labels")
+    labels = old = materialize(nodes.select("id", F.col("id").alias("group")).distinct(), "labels")
     while True:
         best = both.join(labels.select(F.col("id").alias("a"), "group"), "a").groupBy(F.col("b").alias("id")).agg(F.min("group").alias("seen"))
         step = labels.join(best, "id", "left").select("id", F.least("group", F.coalesce("seen", "group")).alias("next"), "group")
         over = labels.select(F.col("id").alias("next"), F.col("group").alias("far"))
         new = materialize(step.join(over, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("group"), (F.col("group") != F.least("next", F.coalesce("far", "next"))).alias("changed")), "labels")
-        labels = new.select("id", "group")
-        if new.where("changed").isEmpty():
+        done = new.where("changed").isEmpty()
+        release(old)
+        old, labels = new, new.select("id", "group")
+        if done:
+            release(both)
             return labels
 
 

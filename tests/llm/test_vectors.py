@@ -53,6 +53,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty[0].count() == empty[1].count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
+def test_recall_at_any_similarity(spark, similarity):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(400):  # pairs that share a beginning, so that about similarity of their words sequences are common
+        base = rng.choice(words, 80)
+        other = rng.choice(words, 80)
+        cut = int(round(2 * similarity / (1 + similarity) * 80 + 2.5))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:cut], *other[cut:]]))]
+    expected = brute(rows, 3, similarity, 1)
+    pairs, members = N.links(spark.createDataFrame(rows, "id long, content string"), k=3, similarity=similarity)
+    got = {tuple(r) for r in N.expand(pairs, members).collect()}
+    assert got <= expected and len(expected) > 300 and len(got) >= 0.99 * len(expected)
+
+
+def test_bands_of_a_similarity():
+    assert N.banding(0.6) == (14, 2) and N.banding(1.0)[0] == 1
+    for x in np.linspace(0.06, 0.99, 94):
+        bands, rows = N.banding(x)
+        assert (1 - x**rows) ** bands <= N.MISS and bands * rows <= N.BITS
+    with pytest.raises(ValueError):
+        N.banding(0.01)
+
+
 def test_large_classes_of_different_texts_lose_nothing(spark):
     base = texts(2)[:2]
     edited = base[0].replace(base[0].split()[5], "autre", 1)
