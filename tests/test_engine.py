@@ -39,7 +39,8 @@ def test_excerpt():
     text, ranges = P.excerpt("mot " * 100 + "Réunion du syndic " + "fin " * 100, ["reunion"])
     assert text.startswith("… ") and text.endswith(" …") and [text[a:b] for a, b in ranges] == ["Réunion"]
     assert P.excerpt("", ["x"]) == ("", []) and P.excerpt("court", [])[0] == "court"
-    assert P.word_pattern(["a"]) is None
+    assert list(P.matches("a à", ["a"])) == [] and [*P.matches("note_été Étés d'été", ["ete"])] == [(5, 8), (9, 13), (16, 19)]
+    assert P.highlights is not None and [*P.matches("les factures", ["factur"])] == [(4, 12)]
 
 
 def test_passages_and_vectors(spark, tiny):

@@ -55,6 +55,32 @@ def test_time_limit(spark):
     assert X.outcome(b"", "slow", 10, 1, {"slow": slow})[1] == "timeout"
 
 
+def test_a_process_that_hangs_or_dies_is_replaced():
+    def deaf(data, limit):  # as native code that no signal interrupts
+        import signal
+        import time
+
+        signal.pthread_sigmask(signal.SIG_BLOCK, range(1, 32))
+        time.sleep(60)
+
+    readers = {"deaf": deaf, "dead": lambda d, n: os._exit(9), "good": lambda d, n: "text"}
+    with X.Isolated(10, 0.5, readers) as read:
+        assert [read(b"", e)[1] for e in ("good", "deaf", "good", "dead", "good", "good")] == ["ok", "timeout", "ok", "error", "ok", "ok"]
+
+
+def test_mail_parts():
+    page = b"Subject: S\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/plain\nContent-Disposition: attachment\n\nno\n--b\nContent-Type: text/html\n\n<p>caf&eacute;</p>\n--b--\n"
+    assert X.text_of(page, "eml") == "Subject: S\n\n café"
+    assert X.text_of(b"99\n" + page, "emlx") == "Subject: S\n\n café"
+    assert X.text_of(b"Subject: S\nContent-Type: application/pdf\n\nx", "eml") == "Subject: S"
+
+
+def test_markup():
+    assert X.clean(X.from_html("a<style>x</style>b <svg><style>y</style><path/></svg>c&nbsp;d <!-- e --> f < g")).replace("\xa0", " ") == "a b c d f < g"
+    assert X.clean("a\n \n\n\tb  c\r\n") == "a\n\n b c"
+    assert X.decode("é".encode("utf-16")) == "é" and X.decode(b"\xff\xfe\x00") == "ÿþ\x00"
+
+
 def test_scan(spark, tmp_path):
     for name in ("a.md", "sub/b.TXT", "sub/.hidden", "node_modules/x.js", "note.pages/index.xml", "env1/pyvenv.cfg", "env1/lib/y.py", "é.txt"):
         path = tmp_path / name
