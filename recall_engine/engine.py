@@ -1,31 +1,44 @@
-"""The whole search over the tables of a folder: one query or a table of them, and its measures."""
+"""The whole search over the tables of a folder: one query or a table of them, in two phases, and its measures."""
 
 from __future__ import annotations
 
+import statistics
 import time
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.functions.queryparse import parsed
-from recall_engine.operators import catalog as C, evaluate as E, fusion as R, lexical as L, logs, semantic as S
+from recall_engine.operators import catalog as C, evaluate as E, fusion as R, lexical as L, logs, models as M, present as P, semantic as S
 from recall_engine.plans.tables import materialize
 
 #: From queries(qid, text) to (qid, q).
 Embed = Callable[[DataFrame], DataFrame]
+#: Loads a model in a worker and returns a function from (query, passage) pairs to a score each.
+Pairs = Callable[[], Callable[[list[tuple[str, str]]], object]]
+
+
+@dataclass(frozen=True)
+class Answer:
+    """The two phases of an answer. fast is there at once; final reads the table of the fast one and reorders its head, so
+    that the search itself runs once. Only the first phase is a search to be logged."""
+
+    fast: DataFrame
+    final: DataFrame
 
 
 class Engine:
-    """Tables files, lexical_index, vectors and clicks of a folder, and the text index built from them once."""
+    """Tables files, lexical_index, chunks, vectors and clicks of a folder, and the text index built from them once."""
 
-    def __init__(self, spark: SparkSession, folder: str, stem: bool = True, embed: Embed | None = None):
-        """embed: from queries(qid, text) to (qid, q); without it vectors are not searched."""
+    def __init__(self, spark: SparkSession, folder: str, stem: bool = True, embed: Embed | None = None, pairs: Pairs | None = None):
+        """embed: from queries(qid, text) to (qid, q); without it vectors are not searched. pairs: loads the model that
+        re-ranks; without it Options.rerank leaves the fast list as it is."""
         read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
-        self.spark, self.stem, self.embed = spark, stem, embed
-        self.files, self.vectors, self.clicks = read("files"), read("vectors"), read("clicks")
-        self.index = L.build(read("lexical_index").select("id", "name", "path", "content"), stem)
+        self.spark, self.stem, self.embed, self.pairs = spark, stem, embed, pairs
+        self.files, self.vectors, self.clicks, self.chunks, self.records = (read(t) for t in ("files", "vectors", "clicks", "chunks", "lexical_index"))
+        self.index = L.cached(spark, f"{folder}/lexical_index.parquet", stem)
 
     def _hits(self, asked: DataFrame, o: R.Options, allowed: DataFrame | None, now: float, soft: bool) -> DataFrame:
         text = asked.select("qid", F.trim(F.concat_ws(" ", "text", "name_terms")).alias("text"))
@@ -47,14 +60,18 @@ class Engine:
         fused = R.cut_margin(R.fuse(lex, sem, o), o.sem_only_margin)
         fused = materialize(fused.join(self.files.select("id"), "id", "left_semi"), "fused")
         clicks = logs.use(self.clicks, asked, fused, now) if o.signals else None
-        return R.signals(fused, self.files, asked, now, o, clicks, soft)
+        return R.signals(fused, self.files, asked, now, o, clicks, soft, self.stem)
 
     def search(self, queries: DataFrame, o: R.Options = R.Options(), now: float | None = None, exts: list[str] | None = None, days: int | None = None, disabled: frozenset[str] = frozenset()) -> DataFrame:
-        """qid, place, id, score, lex_rank, sem_rank, best_row, bonus, relaxed for queries(qid, query).
+        """qid, place, id, score, lex_rank, sem_rank, best_row, bonus, relaxed for queries(qid, query), re-ranked if o.rerank.
 
         exts and days filter strictly; dates and types in a query rank, or filter too with parsed_strict, which falls
         back on ranking for fewer than three hits. A query of filters only lists the newest files that pass them.
         """
+        return self.answer(queries, o, now, exts, days, disabled).final
+
+    def answer(self, queries: DataFrame, o: R.Options = R.Options(), now: float | None = None, exts: list[str] | None = None, days: int | None = None, disabled: frozenset[str] = frozenset()) -> Answer:
+        """search() in two phases; without re-ranking both are the same."""
         now = time.time() if now is None else now
         today = datetime.fromtimestamp(now, UTC).date()
         asked = materialize(self._parse(queries, o, today, disabled), "asked")
@@ -71,7 +88,33 @@ class Engine:
         listed = self._listing(asked.where("trim(text) = ''"), exts, start, end, o.limit)
         every = hits.select("qid", "id", "score", "lex_rank", "sem_rank", "best_row", "bonus", "relaxed").unionByName(listed)
         ranked = every.withColumn("place", F.row_number().over(R.Window.partitionBy("qid").orderBy(F.asc("relaxed"), *R.order())) - 1)
-        return ranked.where(F.col("place") < max(o.limit, o.rerank_top))
+        listed = ranked.where(F.col("place") < max(o.limit, o.rerank_top))
+        if not (o.rerank and self.pairs is not None):
+            fast = listed.where(F.col("place") < o.limit)
+            return Answer(fast, fast)
+        held = materialize(listed, "fast")
+        return Answer(held.where(F.col("place") < o.limit), self._reranked(held, worded, o).where(F.col("place") < o.limit))
+
+    def _reranked(self, hits: DataFrame, asked: DataFrame, o: R.Options) -> DataFrame:
+        """Hits with the places of a second model for the head of each list of two or more that words asked for."""
+        several = hits.groupBy("qid").count().where("count > 1").select("qid")
+        head = hits.where(F.col("place") < o.rerank_top).join(several, "qid", "left_semi").join(asked.select("qid", "text"), "qid")
+        read = P.passages(head.select("qid", "id", "text", "best_row"), self.files, self.records, self.chunks, o.rerank_chars)
+        scores = M.score_pairs(read.select("qid", "id", "text", "passage"), self.pairs)
+        return R.rerank(hits, scores, o).withColumn("place", F.col("final_rank")).select(*hits.columns)
+
+    def explain(self, hits: DataFrame, queries: DataFrame, o: R.Options = R.Options(), now: float | None = None) -> DataFrame:
+        """qid, id, reasons of hits of search() for its queries(qid, query); words are compared as in the search."""
+        now = time.time() if now is None else now
+        asked = materialize(self._parse(queries, o, datetime.fromtimestamp(now, UTC).date(), frozenset()), "asked")
+        used = logs.use(self.clicks, asked, hits.select("qid", "id"), now)
+        return P.explain(hits.select("qid", "id", "lex_rank", "sem_rank").join(used, ["qid", "id"]), self.files, asked, self.stem)
+
+    def snippets(self, hits: DataFrame, queries: DataFrame, o: R.Options = R.Options(), now: float | None = None) -> DataFrame:
+        """qid, id, snippet of hits of search() for its queries(qid, query); words are lit up by their stems."""
+        today = datetime.fromtimestamp(time.time() if now is None else now, UTC).date()
+        asked = self._parse(queries, o, today, frozenset())
+        return P.snippets(hits.select("qid", "id", "lex_rank", "sem_rank", "best_row"), self.records, self.files, self.chunks, asked, self.stem)
 
     def _parse(self, queries: DataFrame, o: R.Options, today: date, disabled: frozenset[str]) -> DataFrame:
         if o.parse:
@@ -105,14 +148,30 @@ class Engine:
             return self.spark.createDataFrame([], "qid long, id long, score double, lex_rank int, sem_rank int, best_row long, bonus double, relaxed boolean")
         return asked.join(out, "filter").select("qid", "id", "score", F.lit(None).cast("int").alias("lex_rank"), F.lit(None).cast("int").alias("sem_rank"), F.lit(None).cast("long").alias("best_row"), F.lit(0.0).alias("bonus"), F.lit(False).alias("relaxed"))
 
-    def evaluate(self, queries: DataFrame, variants: list[tuple[str, R.Options]], now: float) -> list[dict]:
-        """variant, n, mrr, r1, r3, r10 and seconds of each variant for queries(qid, query, expected paths)."""
+    def evaluate(self, queries: DataFrame, variants: list[tuple[str, R.Options]], now: float, timed: int = 0) -> list[dict]:
+        """Of each variant for queries(qid, query, expected paths): variant, n, skipped (queries none of whose paths is
+        known), mrr, r1, r3, r10, misses (queries without an expected file among the first three), seconds of all queries
+        together, and p50, p95 in milliseconds of a search of its own for each of the first timed queries (None for none).
+        """
         expected = materialize(E.expected_ids(queries, self.files), "expected")
-        asked = queries.select("qid", "query").join(expected.select("qid").distinct(), "qid")
+        asked = materialize(queries.select("qid", "query").join(expected.select("qid").distinct(), "qid"), "asked")
+        skipped = queries.select("qid").distinct().count() - asked.count()
+        each = asked.orderBy("qid").limit(timed).collect() if timed else []
         out = []
         for name, o in variants:
+            o = replace(o, limit=max(10, o.limit))
             began = time.perf_counter()
-            results = materialize(self.search(asked, replace(o, limit=max(10, o.limit)), now).select("qid", "id", "place"), "results")
+            results = materialize(self.search(asked, o, now).select("qid", "id", "place"), "results")
             seconds = time.perf_counter() - began
-            out.append({"variant": name, **E.quality(E.first_ranks(results, expected)).first().asDict(), "seconds": round(seconds, 3)})
+            missed = [r.asDict() for r in E.misses(results, expected, asked, self.files).orderBy("qid").collect()]  # a query set is a file someone wrote
+            out.append({"variant": name, **E.quality(E.first_ranks(results, expected)).first().asDict(), "skipped": skipped, "misses": missed, "seconds": round(seconds, 3), **self._latency(each, o, now)})
         return out
+
+    def _latency(self, each: list, o: R.Options, now: float) -> dict:
+        times = []
+        for r in each:
+            began = time.perf_counter()
+            self.search(self.spark.createDataFrame([(r.qid, r.query)], "qid long, query string"), o, now).collect()
+            times.append((time.perf_counter() - began) * 1000)
+        times.sort()
+        return {"p50": statistics.median(times) if times else None, "p95": times[min(len(times) - 1, int(0.95 * len(times)))] if times else None}

@@ -159,3 +159,9 @@ def stem(word: str) -> str:
 def stem_of(words: pd.Series) -> pd.Series:
     """Stem of each word of a vocabulary; null stays null."""
     return words.map(stem, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems_of(words: pd.Series) -> pd.Series:
+    """Distinct stems of each list of words, in their order; null stays null."""
+    return words.map(lambda ws: list(dict.fromkeys(map(stem, ws))), na_action="ignore")

@@ -229,11 +229,3 @@ def status_report(files: DataFrame, vectors: DataFrame) -> DataFrame:
     for part in (counted("status"), counted("kind"), live):
         out = out.join(one(part), "_one")
     return out.drop("_one")
-
-
-def noisy(rel_parent: Column | str, query_words: Column) -> Column:
-    """Whether a folder is one of copies or old versions that the query does not name."""
-    from recall_engine.functions.vocabulary import NOISY_FOLDERS
-
-    folders = F.transform(F.split(_column(rel_parent), "/"), fold)
-    return F.arrays_overlap(folders, F.array(*[F.lit(x) for x in NOISY_FOLDERS])) & ~F.arrays_overlap(folders, query_words)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recall_engine.functions.stemmer import stems_of
 from recall_engine.functions.text import fold, query_words, split_name, tokens, words
 from recall_engine.functions.vocabulary import NOISY_FOLDERS, ROOT_ALIASES, STOPWORDS
 from recall_engine.operators.lexical import Weights
@@ -116,26 +117,34 @@ def _root_words(root: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, root), root)
 
 
-def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o: Options = Options(), clicks: DataFrame | None = None, soft: bool = True) -> DataFrame:
+def folder_label(rel_parent: Column, root: Column) -> Column:
+    """Folders of a file and its root, under all names people know it by, as words."""
+    return F.concat_ws(" ", split_name(F.regexp_replace(rel_parent, "/", " ")), _root_words(root))
+
+
+def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o: Options = Options(), clicks: DataFrame | None = None, soft: bool = True, stem: bool = False) -> DataFrame:
     """Hits with bonus and the score multiplied by 1 + bonus, at least 0.05. Hits of unknown files are left out.
 
     queries(qid, text, exts, date_from, date_to, year_hint, name_terms, recent) as parsed; clicks(qid, id, general,
     specific). Terms: recency and last use, the word "recent", the exact name, the share of words found in name and
-    folders, folders of copies, names of copies, depth, a year, use, and the softly applied dates and types.
+    folders, folders of copies, names of copies, depth, a year, use, and the softly applied dates and types. With stem,
+    words of queries, names and folders are compared by their stems, each of a query and of a file found once.
     """
-    q = queries.withColumn("q_terms", query_words("text")).withColumn("q_words", F.filter(words("text"), lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOPWORDS]), w)))
+    terms = stems_of if stem else lambda x: x
+    q = queries.withColumn("q_terms", terms(query_words("text"))).withColumn("q_words", F.filter(words("text"), lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOPWORDS]), w)))
     stem_name = F.regexp_replace("name", r"(?s)\.[^.]*$", "")
     # what is read from names and folders is worked out once per file, not once per hit
     read = {
         "name_terms_": tokens(split_name(stem_name)),
-        "folder_terms_": tokens(F.concat_ws(" ", split_name(F.regexp_replace("rel_parent", "/", " ")), _root_words(F.col("root")))),
+        "folder_terms_": tokens(folder_label(F.col("rel_parent"), F.col("root"))),
         "name_words_": words("name"),
         "folders_": F.transform(F.split("rel_parent", "/"), fold),
         "duplicate_": duplicate_name(F.col("name")),
         "plain_name_": F.regexp_replace("name", "[_-]", ""),
     }
     f = files.select("id", "name", "ext", "rel_parent", "mtime", "ctime", "last_used", *[v.alias(k) for k, v in read.items()])
-    f = materialize(f.join(hits.select("id").distinct(), "id", "left_semi"), "names")
+    f = f.join(hits.select("id").distinct(), "id", "left_semi")
+    f = materialize(f.withColumns({c: terms(F.col(c)) for c in ("name_terms_", "folder_terms_")}), "names")
     rows = hits.join(f, "id").join(q, "qid")
     if clicks is not None:
         rows = rows.join(clicks, ["qid", "id"], "left")

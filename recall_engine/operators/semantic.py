@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recall_engine.plans.tables import spread
@@ -50,21 +51,53 @@ def searchable(vectors: DataFrame, names: bool = True, content: bool = True) ->
     return rows if content else rows.where("is_name")
 
 
-def _top(k: int):
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.rint(F.col("cos") * 1e6)), "row"))
-    return lambda df: df.withColumn("place", place).where(F.col("place") <= k).drop("place")
+#: Lists of best rows that are joined in one step; of more tasks than that, lists are joined in two steps.
+LISTS = 64
+
+
+class _Best:
+    """The k best rows of each of some queries among those seen so far, ties to the smaller row."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.fast, self.k = queries, queries.astype(np.float32), k
+        self.of, self.cos, self.row, self.file = (np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64))
+        self.least = np.full(len(queries), -2.0, np.float32)
+
+    def add(self, x: np.ndarray, row: np.ndarray, file: np.ndarray) -> None:
+        """Rows of unit vectors x. Single precision chooses, double precision tells."""
+        fast, n = x.astype(np.float32), min(self.k, len(x))
+        for low in range(0, len(self.q), 512):
+            cos = self.fast[low : low + 512] @ fast.T
+            # the k best of these rows, and none that is behind the k best so far; as good ones stay, so that ties are told by their number
+            last = np.partition(cos, -n, axis=1)[:, -n]
+            i, j = np.nonzero(cos >= np.maximum(last, self.least[low : low + 512])[:, None] - 2e-6)
+            exact = np.einsum("ij,ij->i", self.q[low + i], x[j])
+            old = (self.of >= low) & (self.of < low + 512)
+            of, value, rows, files = (np.concatenate([a[old], b]) for a, b in ((self.of, low + i), (self.cos, exact), (self.row, row[j]), (self.file, file[j])))
+            order = np.lexsort((rows, -np.rint(value * 1e6), of))
+            start = np.searchsorted(of[order], np.arange(low, min(low + 512, len(self.q)) + 1))
+            place = np.arange(len(order)) - np.repeat(start[:-1], np.diff(start))
+            order = order[place < self.k]
+            full = np.flatnonzero(np.diff(start) >= self.k)
+            kept = np.searchsorted(of[order], low + full, "right") - 1
+            self.least[low + full] = value[order][kept]
+            self.of, self.cos, self.row, self.file = (np.concatenate([a[~old], b[order]]) for a, b in ((self.of, of), (self.cos, value), (self.row, rows), (self.file, files)))
+
+
+_BEST = "array<struct<behind:double, row:long, file_id:long, cos:double>>"
 
 
 def top_rows(vectors: DataFrame, queries: DataFrame, k: int = ROWS, allowed: DataFrame | None = None) -> DataFrame:
     """qid, row, file_id, cos: the k rows most similar to each query of queries(qid, q array of numbers).
 
     Every query is compared with every allowed row, in blocks: the queries, in turns of a bounded number, go to the
-    workers, each multiplies them with its rows and passes on its k best; only these are shuffled. Rows of another length
-    than the query, and null or zero queries, have no answers. Ties go to the smaller row.
+    workers, each multiplies them with its rows, keeps the k best of each query over all its batches and passes them on as
+    one list; lists are joined and cut in the JVM. Rows of another length than the query, and null or zero queries, have
+    no answers. Ties go to the smaller row. The queries are counted while the plan is built.
     """
     if allowed is not None:
         vectors = vectors.join(allowed.select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    rows = vectors.select(F.col("row").cast("long").alias("row"), F.col("file_id").cast("long").alias("file_id"), "q")
+    rows = spread(vectors.select(F.col("row").cast("long").alias("row"), F.col("file_id").cast("long").alias("file_id"), "q"))
     asked = queries.where(F.exists("q", lambda x: x != 0)).select("qid", F.transform("q", lambda x: x.cast("float")).alias("q"))
     turns = max(1, -(-asked.count() // QUERIES))
     out = None
@@ -74,36 +107,32 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = ROWS, allowed: Dat
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, vectors_of = held.value
-            by_size: dict[int, tuple[list[int], np.ndarray]] = {}
+            by_size: dict[int, tuple[list[int], _Best]] = {}
             for size in {len(v) for v in vectors_of}:
                 which = [i for i, v in enumerate(vectors_of) if len(v) == size]
                 m = np.array([vectors_of[i] for i in which], np.float64)
-                by_size[size] = (which, m / np.linalg.norm(m, axis=1, keepdims=True))
+                by_size[size] = ([ids[i] for i in which], _Best(m / np.linalg.norm(m, axis=1, keepdims=True), k))
             for b in batches:
                 lengths = np.diff(b.column(2).offsets.to_numpy())
-                for size, (which, m) in by_size.items():
+                for size, (_, best) in by_size.items():
                     at = np.flatnonzero(lengths == size)
-                    if not len(at):
-                        continue
-                    x = b.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    fast, fast_m = x.astype(np.float32), m.astype(np.float32)
-                    for low in range(0, len(which), 512):
-                        cos = fast_m[low : low + 512] @ fast.T
-                        n = min(k, len(at))
-                        best = np.argpartition(-cos, n - 1, axis=1)[:, :n]
-                        # rows as good as the last one kept stay too, so that ties are told by their number later
-                        last = np.take_along_axis(cos, best, 1).min(1)
-                        i, j = np.nonzero(cos >= last[:, None] - 2e-6)
-                        exact = np.einsum("ij,ij->i", m[low + i], x[j])  # single precision chose, double precision tells
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[which[low + t]] for t in i], pa.int64()), b.column(0).take(pa.array(at[j])), b.column(1).take(pa.array(at[j])), pa.array(exact)],
-                            names=["qid", "row", "file_id", "cos"],
-                        )
-
-        found = spread(rows).mapInArrow(run, "qid long, row long, file_id long, cos double")
+                    if len(at):
+                        x = b.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                        best.add(x, b.column(0).to_numpy()[at], b.column(1).to_numpy()[at])
+            for names, best in by_size.values():
+                order = np.argsort(best.of, kind="stable")
+                cos = best.cos[order]
+                inside = pa.StructArray.from_arrays([pa.array(-np.rint(cos * 1e6)), pa.array(best.row[order]), pa.array(best.file[order]), pa.array(cos)], names=["behind", "row", "file_id", "cos"])
+                offsets = pa.array(np.searchsorted(best.of[order], np.arange(len(names) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), TaskContext.get().partitionId())), pa.ListArray.from_arrays(offsets, inside)], names=["qid", "task", "best"])
+
+        found = rows.mapInArrow(run, f"qid long, task long, best {_BEST}")
         out = found if out is None else out.unionByName(found)
-    return _top(k)(out)
+    join = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() > LISTS:
+        out = out.groupBy("qid", F.pmod("task", F.lit(LISTS)).alias("task")).agg(join)
+    return out.groupBy("qid").agg(join).select("qid", F.explode("best").alias("b")).select("qid", "b.row", "b.file_id", "b.cos")
 
 
 def per_file(rows: DataFrame, files: int = FILES) -> DataFrame:

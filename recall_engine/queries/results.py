@@ -51,11 +51,7 @@ SELECT qid, h.id, f.name || ' — ' || CASE WHEN f.root <> '' THEN '~/' || f.roo
 FROM h JOIN files f USING (id) LEFT JOIN lexical_index l USING (id) LEFT JOIN chunks c ON c.row = h.best_row AND c."end" > 0""")
 def rerank_passages(spark, d):
     h = read(spark, d, "hits").groupBy(F.col("search_id").alias("qid"), "id").agg(F.min("best_row").alias("best_row"))
-    files, records = read(spark, d, "files"), read(spark, d, "lexical_index").select("id", "content")
-    spans = read(spark, d, "chunks").where("end > 0").select(F.col("row").alias("best_row"), "start", "end")
-    rows = h.join(files.select("id", "name", "root", "rel_parent", "status"), "id").join(records, "id", "left").join(spans, "best_row", "left")
-    rows = rows.withColumn("chunk", F.expr("substring(content, start + 1, end - start)"))
-    return rows.select("qid", "id", P.rerank_passage().alias("passage"))
+    return P.passages(h, read(spark, d, "files"), read(spark, d, "lexical_index"), read(spark, d, "chunks")).select("qid", "id", "passage")
 
 
 @BOOK.add()
@@ -107,9 +103,10 @@ def eval_by_variant(spark, d):
 @BOOK.add("SELECT count(*) AS n, round(median(ms), 6) AS p50, round(list_sort(list(ms))[least(count(ms) - 1, CAST(floor(0.95 * count(ms)) AS BIGINT)) + 1], 6) AS p95 FROM searches")
 def eval_percentiles(spark, d):
     rows = read(spark, d, "searches")
-    p95 = E.percentile_exact(rows, "ms", 0.95).first()
-    half = rows.agg(F.count("*").alias("n"), F.round(F.median("ms"), 6).alias("p50"))
-    return half.withColumn("p95", F.round(F.lit(p95[0] if p95 else None).cast("double"), 6))
+    n = rows.agg(F.count("*").alias("n"))
+    p50, p95 = E.median_exact(rows, "ms"), E.percentile_exact(rows, "ms", 0.95).first()
+    value = lambda x: F.round(F.lit(x).cast("double"), 6)
+    return n.select("n", value(p50).alias("p50"), value(p95[0] if p95 else None).alias("p95"))
 
 
 @BOOK.add("SELECT query, [path] AS expected, 'log' AS source FROM (SELECT query, path FROM clicks WHERE action IN ('open', 'reveal', 'copy') AND query <> '' GROUP BY query, path) x")

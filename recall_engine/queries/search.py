@@ -60,7 +60,7 @@ def _ranked_sql(limit: int, source: str = "scored", where: str = "") -> str:
 
 
 def _index(spark, d, stem=False) -> L.TextIndex:
-    return L.build(read(spark, d, "lexical_index").select("id", "name", "path", "content"), stem)
+    return L.cached(spark, f"{d}/lexical_index.parquet", stem)
 
 
 def _queries(spark, d):
@@ -81,7 +81,8 @@ ALL_FIELDS = {"name": 3.0, "path": 1.5, "content": 1.0}
 @BOOK.add(f"WITH {POSTINGS} SELECT s.field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, max(df) AS most, round(any_value(avg), 6) AS mean_length FROM stats s JOIN mean USING (field) GROUP BY s.field")
 def term_stats(spark, d):
     index = _index(spark, d)
-    mean = index.lengths.groupBy("field").agg(F.round(F.sum("len") / index.docs, 6).alias("mean_length"))
+    lengths = index.postings.groupBy("field", "doc_id").agg(F.max("len").alias("len"))
+    mean = lengths.groupBy("field").agg(F.round(F.sum("len") / index.docs, 6).alias("mean_length"))
     return index.stats.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("most")).join(mean, "field")
 
 
@@ -121,18 +122,29 @@ def bm25_stemmed(spark, d):
     return _out(L.search(_index(spark, d, True), _queries(spark, d), limit=50, stem=True))
 
 
-@BOOK.add(f"""WITH gone AS (SELECT id FROM files WHERE ext = 'txt'), {POSTINGS.replace('FROM lexical_index', 'FROM (SELECT * FROM lexical_index WHERE id NOT IN (SELECT id FROM gone))')}
-SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM stats GROUP BY field""")
+_ROWS = "SELECT p.field, p.term, p.doc_id, p.tf, l.len, s.df FROM post p JOIN len l ON l.field = p.field AND l.doc_id = p.doc_id JOIN stats s ON s.field = p.field AND s.term = p.term"
+
+
+def _rows(index):
+    return index.postings.join(index.stats, ["field", "term"]).select("field", "term", "doc_id", F.col("tf").cast("long").alias("tf"), "len", "df")
+
+
+@BOOK.add(f"WITH gone AS (SELECT id FROM files WHERE ext = 'txt'), {POSTINGS.replace('FROM lexical_index', 'FROM (SELECT * FROM lexical_index WHERE id NOT IN (SELECT id FROM gone))')} {_ROWS}")
 def index_delete(spark, d):
-    left = L.delete(_index(spark, d), read(spark, d, "files").where("ext = 'txt'").select("id"))
-    return left.stats.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return _rows(L.delete(_index(spark, d), read(spark, d, "files").where("ext = 'txt'").select("id")))
 
 
-@BOOK.add(f"""WITH {POSTINGS.replace('FROM lexical_index', "FROM (SELECT id, CASE WHEN ext = 'md' THEN 'note ' || name ELSE name END AS name, path, content, ext FROM lexical_index)")}
-SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM stats GROUP BY field""")
+@BOOK.add("WITH " + POSTINGS.replace("FROM lexical_index", "FROM (SELECT id, CASE WHEN ext = 'md' THEN 'note ' || name ELSE name END AS name, path, content, ext FROM lexical_index)") + f" {_ROWS}")
 def index_upsert(spark, d):
     changed = read(spark, d, "lexical_index").where("ext = 'md'").select("id", F.concat(F.lit("note "), "name").alias("name"), "path", "content")
-    return L.upsert(_index(spark, d), changed).stats.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return _rows(L.upsert(_index(spark, d), changed))
+
+
+@BOOK.add(_search_sql(ALL_FIELDS, True, 50) + " WHERE doc_id IN (SELECT id FROM files WHERE ext IN ('pdf', 'docx'))")
+def bm25_filtered_after(spark, d):
+    """The filter after the limit: what is left of the fifty best."""
+    allowed = read(spark, d, "files").where("ext in ('pdf', 'docx')").select("id")
+    return _out(L.search(_index(spark, d), _queries(spark, d), limit=50, allowed=allowed, post_filter=True))
 
 
 # ---------------------------------------------------------------- vectors. No model turns a query into a vector here:

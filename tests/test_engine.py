@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from recall_engine import registry
 from recall_engine.engine import Engine
-from recall_engine.operators import catalog as C, fusion as R, models as M, present as P, semantic as S
+from recall_engine.operators import catalog as C, evaluate as E, fusion as R, models as M, present as P, semantic as S
 from recall_engine.queries import NOW
 
 
@@ -28,11 +28,58 @@ def test_search(spark, engine):
     assert {r.id for r in only} <= {r.id for r in engine.files.where("ext = 'txt'").collect()}
 
 
+def test_rerank_in_two_phases(spark, tiny):
+    engine = Engine(spark, tiny, pairs=lambda: lambda pairs: [-len(p) / 100 for _, p in pairs])
+    asked = spark.createDataFrame([(1, "facture"), (2, "pdf"), (3, "devis maison")], "qid long, query string")
+    o = R.Options(rerank=True, rerank_top=5, rerank_weight=1e6, limit=8)
+    answer = engine.answer(asked, o, NOW)
+    fast, final = ({(r.qid, r.place): r.id for r in df.collect()} for df in (answer.fast, answer.final))
+    assert set(fast) == set(final) and {p for _, p in fast} <= set(range(8))
+    for qid in (1, 3):
+        assert {fast[qid, p] for p in range(5)} == {final[qid, p] for p in range(5)}
+        assert [fast[qid, p] for p in range(5, 8)] == [final[qid, p] for p in range(5, 8)]
+    assert [fast[2, p] for p in range(8)] == [final[2, p] for p in range(8)]  # a query without words is not re-ranked
+    passages = P.passages(answer.fast.where("qid = 1 and place < 5").select("id", "best_row"), engine.files, engine.records, engine.chunks)
+    length = {r.id: len(r.passage) for r in passages.collect()}
+    order = [length[final[1, p]] for p in range(5)]
+    assert order == sorted(order) or len(set(order)) == 1
+    assert {(r.qid, r.place): r.id for r in engine.search(asked, o, NOW).collect()} == final
+    plain = Engine(spark, tiny).search(asked, o, NOW)  # no model, no second phase
+    assert {(r.qid, r.place): r.id for r in plain.collect()} == fast
+
+
+def test_words_are_compared_by_stems(spark):
+    files = spark.createDataFrame([(1, "facture.pdf", "pdf", "R", "maisons", 0.0, 0.0, 0.0, "ok")], "id long, name string, ext string, root string, rel_parent string, mtime double, ctime double, last_used double, status string")
+    hits = spark.createDataFrame([(1, 1, 1.0, 0, None)], "qid long, id long, score double, lex_rank int, sem_rank int")
+    none = {"exts": F.array().cast("array<string>"), "date_from": F.lit(None).cast("double"), "date_to": F.lit(None).cast("double"), "year_hint": F.lit(None).cast("int"), "name_terms": F.lit(""), "recent": F.lit(False)}
+    asked = spark.createDataFrame([(1, "factures maison")], "qid long, text string").withColumns(none)
+    o = R.Options(recency=0.0)
+    plain, stemmed = (R.signals(hits, files, asked, NOW, o, stem=s).first().bonus for s in (False, True))
+    assert stemmed == pytest.approx(plain + o.cover)
+    used = hits.withColumns({"general": F.lit(0.0), "specific": F.lit(0.0)})
+    assert P.explain(used, files, asked).first().reasons == ["content"] and P.explain(used, files, asked, stem=True).first().reasons == ["name", "folder"]
+    records = spark.createDataFrame([(1, "la facture du syndic")], "id long, content string")
+    chunks = spark.createDataFrame([], "row long, start int, end int")
+    snippet = P.snippets(hits.withColumn("best_row", F.lit(None).cast("long")), records, files, chunks, asked, stem=True).first().snippet
+    assert [snippet.text[r.start : r.end] for r in snippet.ranges] == ["facture"]
+
+
+def test_presets():
+    assert [len(E.preset(n)) for n in ("phases", "weights", "rerank")] == [6, 21, 7]
+    assert E.preset("weights")[6][1].rrf_k == 60.0 and E.preset("rerank")[1][1].rerank_top == 20
+
+
 def test_evaluate(spark, engine):
     files = engine.files.select("name", "path").limit(3).collect()
     asked = spark.createDataFrame([(i, f.name, [f.path]) for i, f in enumerate(files)] + [(9, "x", ["/nowhere"])], "qid long, query string, expected array<string>")
     rows = engine.evaluate(asked, [("default", R.Options()), ("keywords", R.Options(semantic=False, parse=False))], NOW)
     assert [r["n"] for r in rows] == [3, 3] and all(r["r10"] == 1 for r in rows)
+    assert [r["skipped"] for r in rows] == [1, 1] and rows[0]["p50"] is None
+    wrong = spark.createDataFrame([(5, files[0].name, [files[1].path])], "qid long, query string, expected array<string>")
+    row = engine.evaluate(wrong, [("default", R.Options(limit=10))], NOW, timed=1)[0]
+    assert row["p50"] > 0 and row["p95"] >= row["p50"]
+    if row["r3"] == 0:
+        assert row["misses"][0]["expected"] == files[1].path and len(row["misses"][0]["got"]) == 3
 
 
 def test_excerpt():
