@@ -2,6 +2,7 @@ import io
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from recall_engine.sources import extract as X, files, settings
@@ -92,6 +93,24 @@ def test_scan(spark, tmp_path):
     assert rows["a.md"].root == os.path.basename(tmp_path) and bytes(rows["a.md"].content) == b"text"
 
 
+@pytest.mark.parametrize("budget", [1, 3, 10_000])
+def test_walk_leaves_folders_out_before_it_looks(spark, tmp_path, monkeypatch, budget):
+    kept = ("_notes.md", "_private/a.txt", "a/b/c/d/e.txt", "note.key/index.apxl", "x.pdf")
+    left = (".git/config", "node_modules/m/i.js", "env9/pyvenv.cfg", "env9/lib/y.py", "Foo.framework/f.txt", "b.pyc", "~$x.docx", "sub/.hidden")
+    for name in (*kept, *left):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("12345")
+    (tmp_path / "link.txt").symlink_to(tmp_path / "x.pdf")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    found = {r.raw.removeprefix(f"{tmp_path}/"): r for r in files.walk(spark, [str(tmp_path)], budget=budget).collect()}
+    assert set(found) == {"_notes.md", "_private/a.txt", "a/b/c/d/e.txt", "note.key", "x.pdf"}
+    assert found["note.key"].size == 0 and found["x.pdf"].size == 5
+    rows = {r.name: r.content for r in files.scan(spark, [str(tmp_path)], content=True).collect()}
+    assert bytes(rows["_notes.md"]) == b"12345" and rows["note.key"] is None
+    assert files.walk(spark, [str(tmp_path / "nowhere")]).count() == 0
+
+
 def test_settings_and_queries(spark, tmp_path):
     toml = tmp_path / "config.toml"
     toml.write_text('roots = ["/x"]\nmax_content_mb = 5\nunknown = 1\n')
