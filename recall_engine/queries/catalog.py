@@ -142,27 +142,27 @@ def gone_guarded(spark, d):
     return gone.where(C.deletable("path", roots, roots[:1])).select("id")
 
 
-@BOOK.add(f"""WITH {_SCAN} SELECT status, count(*) AS n, count(*) FILTER (WHERE seen = 999) AS seen_now FROM (
-  SELECT 'pending' AS status, 999 AS seen FROM diff WHERE change IN ('new', 'changed')
-  UNION ALL SELECT f.status, 999 FROM diff JOIN files f USING (path) WHERE change = 'same'
-  UNION ALL SELECT f.status, f.seen FROM diff JOIN files f USING (path) WHERE change = 'gone' AND starts_with(f.path, '/Volumes/')) x GROUP BY status""")
+@BOOK.add(f"""WITH {_SCAN}, fresh AS (SELECT d.path, d.change, d.id, s.s.size AS size, s.s.mtime AS mtime FROM diff d JOIN scan s USING (path) WHERE change IN ('new', 'changed')),
+  numbered AS (SELECT path, (SELECT max(id) FROM files) + row_number() OVER (ORDER BY path) AS id FROM fresh WHERE change = 'new')
+SELECT coalesce(n.id, f.id) AS id, f.path, size, mtime, 'pending' AS status, 999 AS seen FROM fresh f LEFT JOIN numbered n USING (path)
+UNION ALL SELECT f.id, f.path, f.size, f.mtime, f.status, 999 FROM diff JOIN files f USING (path) WHERE change = 'same'
+UNION ALL SELECT f.id, f.path, f.size, f.mtime, f.status, f.seen FROM diff JOIN files f USING (path) WHERE change = 'gone' AND starts_with(f.path, '/Volumes/')""")
 def apply_scan(spark, d):
     roots = ["/Users", "/Volumes"]
     after = C.apply_diff(_files(spark, d), _last_scan(spark, d), 999, roots, roots[:1])
-    return after.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("seen") == 999).alias("seen_now"))
+    return after.select("id", "path", "size", "mtime", "status", "seen")
 
 
 @BOOK.add("""WITH g AS (SELECT id FROM files WHERE starts_with(path, '/Users/lou/Downloads/'))
-SELECT 'chunks' AS what, count(*) AS n FROM chunks WHERE file_id NOT IN (SELECT id FROM g)
-UNION ALL SELECT 'files', count(*) FROM files WHERE id NOT IN (SELECT id FROM g)
-UNION ALL SELECT 'dead', count(*) FROM vectors WHERE file_id = -1 OR file_id IN (SELECT id FROM g)""")
+SELECT 'chunk' AS what, row AS id, file_id FROM chunks WHERE file_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'file', id, id FROM files WHERE id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'vector', row, CASE WHEN file_id IN (SELECT id FROM g) THEN -1 ELSE file_id END FROM vectors""")
 def cascade_delete(spark, d):
     files = _files(spark, d)
     gone = files.where(C.in_folder("/Users/lou/Downloads")).select("id")
     f, c, v = C.cascade_delete(files, read(spark, d, "chunks"), read(spark, d, "vectors"), gone)
-    n = F.count("*").alias("n")
-    named = lambda df, x: df.agg(n).select(F.lit(x).alias("what"), "n")
-    return named(f, "files").unionByName(named(c, "chunks")).unionByName(named(v.where("file_id = -1"), "dead"))
+    named = lambda df, what, id, file: df.select(F.lit(what).alias("what"), F.col(id).alias("id"), F.col(file).alias("file_id"))
+    return named(f, "file", "id", "id").unionByName(named(c, "chunk", "row", "file_id")).unionByName(named(v, "vector", "row", "file_id"))
 
 
 @BOOK.add("SELECT row AS old, row_number() OVER (ORDER BY first, file_id, row) - 1 AS new FROM (SELECT row, file_id, min(row) OVER (PARTITION BY file_id) AS first FROM chunks) x")
@@ -235,12 +235,12 @@ def chunk_overlap(spark, d):
     return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("start")).alias("overlapping"))
 
 
-@BOOK.add("SELECT id, length(content) AS chars, substr(content, 1, 80) AS head FROM lexical_index WHERE id IN (SELECT id FROM hits)")
+@BOOK.add("SELECT id, length(content) AS chars, content FROM lexical_index WHERE id IN (SELECT id FROM hits)")
 def content_lookup(spark, d):
     """Stored content of the files that were hits, by a semi join on the id."""
     wanted = read(spark, d, "hits").select("id").distinct()
     rows = read(spark, d, "lexical_index").join(wanted, "id", "left_semi")
-    return rows.select("id", F.length("content").cast("long").alias("chars"), F.substring("content", 1, 80).alias("head"))
+    return rows.select("id", F.length("content").cast("long").alias("chars"), "content")
 
 
 @BOOK.add("""WITH m AS (SELECT row AS old, row_number() OVER (ORDER BY first, file_id, row) - 1 AS new FROM (SELECT row, file_id, min(row) OVER (PARTITION BY file_id) AS first FROM chunks) x)

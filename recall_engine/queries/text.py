@@ -100,7 +100,19 @@ def fixed_chunks(spark, d):
     return rows.select("id", F.inline(X.fixed_spans(F.length("content"), 1100, 920)))
 
 
-@BOOK.add()
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@BOOK.add(f"""WITH RECURSIVE step AS (
+  SELECT id, content, length(content) AS n, 0 AS s, 0 AS kept, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS e FROM lexical_index WHERE length(content) > 0
+  UNION ALL
+  SELECT id, content, n, CASE WHEN e1 >= n THEN n ELSE greatest(greatest(e1 - 180, s + 1), CASE WHEN instr(substr(content, greatest(e1 - 180, s + 1) + 1, e1 - greatest(e1 - 180, s + 1)), ' ') > 0
+      THEN greatest(e1 - 180, s + 1) + instr(substr(content, greatest(e1 - 180, s + 1) + 1, e1 - greatest(e1 - 180, s + 1)), ' ') ELSE 0 END) END,
+    kept + CASE WHEN blank THEN 0 ELSE 1 END, CASE WHEN blank THEN NULL ELSE s END, CASE WHEN blank THEN NULL ELSE e1 END
+  FROM (SELECT *, regexp_full_match(substr(content, s + 1, e1 - s), '{_WS}*') AS blank FROM (SELECT *, CASE WHEN s + 1100 >= n THEN n ELSE s + 550 + CASE WHEN cut > 0 THEN cut WHEN space >= 0 THEN space ELSE 550 END END AS e1
+    FROM (SELECT *, greatest(length(regexp_extract(half, '(?s)^.*[.!?…:;]{_WS}+')), length(regexp_extract(half, '(?s)^.*\\n'))) AS cut, length(regexp_extract(half, '(?s)^.* ')) - 1 AS space
+      FROM (SELECT id, content, n, s, kept, substr(content, s + 551, 550) AS half FROM step WHERE s < n AND kept < 16) h) c) x) y
+) SELECT id, CAST(a AS INT) AS start, CAST(e AS INT) AS "end" FROM step WHERE a IS NOT NULL""")
 def sentence_chunks(spark, d):
     rows = read(spark, d, "lexical_index").where("length(content) > 0")
     return rows.select("id", F.inline(X.sentence_chunks("content", F.lit(16))))
@@ -149,3 +161,72 @@ def stemmed_terms(spark, d):
 @BOOK.add()
 def parse_queries(spark, d):
     return read(spark, d, "searches").select("id", parsed(F.col("query"), TODAY).alias("p")).select("id", "p.*")
+
+
+_GOLD_DAY = date(2026, 10, 8)
+#: Queries and what they mean on _GOLD_DAY, a Thursday, worked out by hand: text, extensions, first day and the day after
+#: the last, year, words of names, recent.
+_GOLD = [
+    ("le pdf du devis de la semaine dernière", "devis", ["pdf"], "2026-09-28", "2026-10-09", None, "", False),
+    ("facture edf en mars", "facture edf", [], "2026-03-01", "2026-04-01", None, "", False),
+    ("relevé en décembre", "relevé", [], "2025-12-01", "2026-01-01", None, "", False),
+    ("relevé en octobre", "relevé", [], "2026-10-01", "2026-11-01", None, "", False),
+    ("notes de cours mars 2025", "notes de cours", [], "2025-03-01", "2025-04-01", None, "2025 03", False),
+    ("composition du stoxx 600 mai 2022", "composition du stoxx 600", [], "2022-05-01", "2022-06-01", None, "2022 05", False),
+    ("bilan 2024", "bilan 2024", [], None, None, 2024, "", False),
+    ("bilan 1899", "bilan 1899", [], None, None, None, "", False),
+    ("devis depuis 2024", "devis", [], "2024-01-01", "2025-01-01", None, "", False),
+    ("contrat en 2023", "contrat", [], "2023-01-01", "2024-01-01", None, "", False),
+    ("Relevé de compte hier", "Relevé de compte", [], "2026-10-07", "2026-10-08", None, "", False),
+    ("avant-hier", "", [], "2026-10-06", "2026-10-07", None, "", False),
+    ("day before yesterday", "", [], "2026-10-06", "2026-10-07", None, "", False),
+    ("budget aujourd'hui", "budget", [], "2026-10-08", "2026-10-09", None, "", False),
+    ("budget cette semaine", "budget", [], "2026-10-05", "2026-10-09", None, "", False),
+    ("slides from last week", "slides", ["key", "odp", "ppt", "pptx"], "2026-09-28", "2026-10-09", None, "", False),
+    ("ce mois-ci budget", "budget", [], "2026-10-01", "2026-10-09", None, "", False),
+    ("budget le mois dernier", "budget", [], "2026-09-01", "2026-10-09", None, "", False),
+    ("budget cette année", "budget", [], "2026-01-01", "2026-10-09", None, "", False),
+    ("budget last year", "budget", [], "2025-01-01", "2026-01-01", None, "", False),
+    ("mail il y a 9 jours", "mail", ["eml", "emlx", "msg"], "2026-09-26", "2026-10-03", None, "", False),
+    ("note 2 days ago", "note", [], "2026-10-05", "2026-10-08", None, "", False),
+    ("note il y a deux semaines", "note", [], "2026-09-16", "2026-10-03", None, "", False),
+    ("présentation stage il y a 2 mois", "présentation stage", ["key", "odp", "ppt", "pptx"], "2026-07-10", "2026-09-09", None, "", False),
+    ("note il y a un an", "note", [], "2025-03-22", "2026-04-27", None, "", False),
+    ("excel budget vacances", "budget vacances", ["csv", "numbers", "ods", "tsv", "xls", "xlsm", "xlsx"], None, None, None, "", False),
+    ("documents récents", "documents", [], None, None, None, "", True),
+    ("latest report", "report", [], None, None, None, "", True),
+    ("pdf", "", ["pdf"], None, None, None, "", False),
+    ("python notebook", "notebook", ["ipynb", "py"], None, None, None, "", False),
+    ("", "", [], None, None, None, "", False),
+]
+
+
+def _gold_sql() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    day = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"epoch(TIMESTAMP '{x}')"
+    rows = [f"({i}, {text(t)}, CAST([{', '.join(map(text, exts))}] AS VARCHAR[]), {day(a)}, {day(b)}, {y or 'NULL'}, {text(w)}, {r})" for i, (_, t, exts, a, b, y, w, r) in enumerate(_GOLD)]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(id, text, exts, date_from, date_to, year_hint, name_terms, recent)"
+
+
+@BOOK.add(_gold_sql())
+def parse_goldens(spark, d):
+    """What queries mean, against values worked out by hand."""
+    rows = spark.createDataFrame([(i, g[0]) for i, g in enumerate(_GOLD)], "id int, query string")
+    return rows.select("id", parsed(F.col("query"), _GOLD_DAY).alias("p")).select("id", "p.text", "p.exts", "p.date_from", "p.date_to", "p.year_hint", "p.name_terms", "p.recent")
+
+
+#: Words and stems of the published vocabulary of the algorithm, those without accents.
+_STEMS = {
+    "continu": "continu", "continua": "continu", "continuait": "continu", "continuant": "continu", "continuation": "continu", "continue": "continu", "continuel": "continuel", "continuelle": "continuel", "continuellement": "continuel",
+    "continuelles": "continuel", "continuels": "continuel", "continuer": "continu", "continuera": "continu", "continuerait": "continu", "continueront": "continu", "continuez": "continu", "continuons": "continuon",
+    "contorsions": "contors", "contour": "contour", "contournait": "contourn", "contournant": "contourn", "contourne": "contourn", "contours": "contour", "contractait": "contract", "contracter": "contract", "contractions": "contract",
+    "main": "main", "mains": "main", "maintenaient": "mainten", "maintenait": "mainten", "maintenant": "mainten", "maintenir": "mainten", "maintenue": "maintenu", "maintien": "maintien", "maintint": "maintint",
+    "maire": "mair", "maires": "mair", "mairie": "mair", "mais": "mais", "maison": "maison", "maisons": "maison", "maistre": "maistr", "maitre": "maitr", "majestueuse": "majestu", "majestueusement": "majestu", "majestueux": "majestu",
+    "majeur": "majeur", "majeure": "majeur", "major": "major", "majordome": "majordom", "majordomes": "majordom", "mal": "mal", "malacca": "malacc", "malade": "malad", "malades": "malad", "maladie": "malad", "maladies": "malad", "maladive": "malad",
+}
+
+
+@BOOK.add("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{x}')" for w, x in _STEMS.items()) + ") v(word, stem)")
+def stem_goldens(spark, d):
+    """Stems of published words."""
+    return spark.createDataFrame([(w,) for w in _STEMS], "word string").select("word", stem_of("word").alias("stem"))
