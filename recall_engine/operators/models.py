@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,115 @@ class HashedEmbedder:
         return run
 
 
+@dataclass(frozen=True)
+class Model:
+    """What a model expects: the words before queries and passages, the most tokens it reads, and its vectors' length."""
+
+    dim: int
+    max_tokens: int
+    query_prefix: str = ""
+    passage_prefix: str = ""
+
+
+# The models that vectors and scores are made with.
+MODELS = {
+    "e5-small": Model(384, 320, "query: ", "passage: "),
+    "e5-base": Model(768, 320, "query: ", "passage: "),
+    "mmarco-minilm": Model(1, 256),
+}
+# Ids of the marks of the vocabulary the models share; pieces of the file are counted from one further on.
+BOS, PAD, EOS, UNKNOWN, SHIFT = 0, 1, 2, 3, 1
+
+
+class Subwords:
+    """Ids of texts and pairs for the models, from the file of a sentencepiece vocabulary.
+
+    A text has most ids at its marks included. Of a pair the query has half of them at most, the passage the rest.
+    """
+
+    def __init__(self, path: str, most: int):
+        import sentencepiece
+
+        self.most, self.pieces = most, sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids without marks and without a limit."""
+        found = (np.array(x, np.int64) for x in self.pieces.encode(texts))
+        return [np.where(x == 0, UNKNOWN, x + SHIFT) for x in found]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.concatenate([[BOS], x[: self.most - 2], [EOS]]) for x in self.plain(texts)]
+
+    def pairs(self, pairs: list[tuple[str, str]]) -> list[np.ndarray]:
+        queries, passages = self.plain([a for a, _ in pairs]), self.plain([b for _, b in pairs])
+        heads = [q[: self.most // 2] for q in queries]
+        return [np.concatenate([[BOS], q, [EOS, EOS], p[: max(1, self.most - len(q) - 4)], [EOS]]) for q, p in zip(heads, passages, strict=True)]
+
+
+def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in one matrix, and where they are ids."""
+    size = np.array([len(x) for x in rows])
+    mask = np.arange(size.max(initial=0)) < size[:, None]
+    ids = np.full(mask.shape, PAD, np.int64)
+    ids[mask] = np.concatenate(rows) if len(rows) else ids[mask]
+    return ids, mask.astype(np.int64)
+
+
+#: From ids and mask to the first output of a network.
+Network = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def network(path: str, threads: int = 2) -> Network:
+    """A network in the ONNX format; the runtime is optional."""
+    import onnxruntime
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads, options.enable_cpu_mem_arena = threads, False
+    session = onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+    wants = {i.name for i in session.get_inputs()}
+    return lambda ids, mask: session.run(None, {k: v for k, v in (("input_ids", ids), ("attention_mask", mask), ("token_type_ids", np.zeros_like(ids))) if k in wants})[0]
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """A loader of a model of texts for embed(): mean of the states of the tokens, scaled to length one."""
+
+    key: str
+    vocabulary: str
+    open: Callable[[], Network]
+    asks: bool = field(default=False)
+
+    def __call__(self) -> Callable[[list[str]], np.ndarray]:
+        model, run = MODELS[self.key], self.open()
+        cut = Subwords(self.vocabulary, model.max_tokens)
+        prefix = model.query_prefix if self.asks else model.passage_prefix
+
+        def vectors(texts: list[str]) -> np.ndarray:
+            ids, mask = padded(cut.texts([prefix + t for t in texts]))
+            total = np.einsum("btd,bt->bd", run(ids, mask), mask.astype(np.float32))
+            mean = total / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+            return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+
+        return vectors
+
+
+@dataclass(frozen=True)
+class PairModel:
+    """A loader of a model of pairs for score_pairs(): the first output of each pair."""
+
+    key: str
+    vocabulary: str
+    open: Callable[[], Network]
+
+    def __call__(self) -> Callable[[list[tuple[str, str]]], np.ndarray]:
+        run, cut = self.open(), Subwords(self.vocabulary, MODELS[self.key].max_tokens)
+
+        def scores(pairs: list[tuple[str, str]]) -> np.ndarray:
+            return run(*padded(cut.pairs(pairs))).reshape(len(pairs), -1)[:, 0] if pairs else np.zeros(0, np.float32)
+
+        return scores
+
+
 def embed(rows: DataFrame, column: str, load: Loader, batch: int = 64, prefix: str = "") -> DataFrame:
     """Rows with embedding (array<float>) of a text column; a null text has none.
 
