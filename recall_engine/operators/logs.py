@@ -20,21 +20,34 @@ def general_use(clicks: DataFrame, now: float) -> DataFrame:
     return recent.groupBy(F.col("file_id").alias("id")).agg(F.sum(0.3 * F.exp(-(F.lit(now) - F.col("at")) / DAY / 30)).alias("general"))
 
 
+def _beginnings(clicks: DataFrame, now: float) -> DataFrame:
+    """key, id, n: clicks of the last 365 days by file and by the whole logged query and its beginnings of four characters or more."""
+    logged = distinct_clicks(clicks).where(F.col("at") > now - 365 * DAY).select(F.trim(fold("query")).alias("q"), F.col("file_id").alias("id")).groupBy("q", "id").agg(F.count("*").alias("n"))
+    starts = F.array_union(F.array("q"), F.when(F.length("q") >= 4, F.transform(F.sequence(F.lit(4), F.length("q")), lambda n: F.substring(F.col("q"), F.lit(1), n))).otherwise(F.array().cast("array<string>")))
+    return logged.select(F.explode(starts).alias("key"), "id", "n").groupBy("key", "id").agg(F.sum("n").alias("n"))
+
+
+def _keys(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.trim(fold("text")).alias("key")).where("key <> ''")
+
+
 def specific_use(clicks: DataFrame, queries: DataFrame, now: float) -> DataFrame:
     """qid, id, specific: clicks after the same query, or, from four characters on, one that begins with it.
 
-    queries(qid, text). A logged query is joined with its beginnings, so prefixes are found by equality.
+    queries(qid, text), a row each. A logged query is joined with its beginnings, so prefixes are found by equality.
     """
-    logged = distinct_clicks(clicks).where(F.col("at") > now - 365 * DAY).select(F.trim(fold("query")).alias("q"), F.col("file_id").alias("id")).groupBy("q", "id").agg(F.count("*").alias("n"))
-    wanted = queries.select("qid", F.trim(fold("text")).alias("key")).where("key <> ''")
-    starts = F.array_union(F.array("q"), F.when(F.length("q") >= 4, F.transform(F.sequence(F.lit(4), F.length("q")), lambda n: F.substring(F.col("q"), F.lit(1), n))).otherwise(F.array().cast("array<string>")))
-    return wanted.join(logged.select(F.explode(starts).alias("key"), "id", "n"), "key").groupBy("qid", "id").agg((0.5 * F.sum("n")).alias("specific"))
+    return _keys(queries).join(_beginnings(clicks, now), "key").select("qid", "id", (0.5 * F.col("n")).alias("specific"))
 
 
 def use(clicks: DataFrame, queries: DataFrame, candidates: DataFrame, now: float) -> DataFrame:
-    """qid, id, general, specific of the candidates(qid, id)."""
-    rows = candidates.select("qid", "id").join(general_use(clicks, now), "id", "left")
-    return rows.join(specific_use(clicks, queries, now), ["qid", "id"], "left")
+    """qid, id, general, specific of the candidates(qid, id).
+
+    Candidates take the words of their query along and meet the clicks by words and file, so a popular query that many
+    searches repeat is spread over its files and brings no rows but those of candidates.
+    """
+    rows = candidates.select("qid", "id").join(_keys(queries), "qid", "left").join(general_use(clicks, now), "id", "left")
+    rows = rows.join(_beginnings(clicks, now), ["key", "id"], "left")
+    return rows.select("qid", "id", "general", (0.5 * F.col("n")).alias("specific"))
 
 
 def answered_queries(clicks: DataFrame) -> DataFrame:

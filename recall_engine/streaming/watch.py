@@ -223,6 +223,12 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def log_sink(rows: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Add a stream of searches or clicks to their log; a batch that is repeated is in the log once."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=QUIET)).start()
+
+
 #: The state of a stream of clicks: the use of a file (id, general), or a click that is counted (click); the other is null.
 _CLICKS = "id long, general double, click long"
 

@@ -116,3 +116,12 @@ def test_clicks_go_on_after_a_restart(spark, tiny, tmp_path):
     whole = watch.stream_clicks(spark, f"{tiny}/clicks.parquet", now)
     key = lambda df: sorted((r.id, round(r.general, 6)) for r in df.collect() if r.id is not None)
     assert key(got) == key(whole)
+
+
+def test_a_log_takes_a_stream(spark, tiny, tmp_path):
+    rows = spark.read.parquet(f"{tiny}/searches.parquet")
+    for i in range(2):
+        rows.limit(5 + i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        watch.log_sink(stream, str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 11
