@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,24 @@ def test_use(spark):
     asked = spark.createDataFrame([(1, "factu"), (2, "fac"), (3, "facture edf "), (4, "")], "qid long, text string")
     assert {r.id: round(r.general, 6) for r in logs.general_use(clicks, now).collect()} == {7: round(0.3 / math.e, 6), 8: round(0.3 / math.e, 6)}
     assert {(r.qid, r.id): r.specific for r in logs.specific_use(clicks, asked, now).collect()} == {(1, 7): 0.5, (3, 7): 0.5}
+
+
+@pytest.mark.parametrize("limit", [1, 5, 40])
+def test_bounded_sums_keep_the_best(spark, limit):
+    rng = random.Random(limit)
+    scores = [(f"w{w}", False, d, round(rng.random() * (8 - w), 2)) for w in range(8) for d in range(300) if rng.random() < 0.1 + w * 0.1]
+    asked = [(q, f"w{w}", False) for q in range(30) for w in rng.sample(range(8), 1 + q % 5)] + [(99, "nowhere", False)]
+    by_word, sums = {}, {}
+    for w, _, d, s in scores:
+        by_word.setdefault(w, []).append((d, s))
+    for q, w, _ in asked:
+        for d, s in by_word.get(w, ()):
+            sums[q, d] = sums.get((q, d), 0) + s
+    got = {(r.qid, r.doc_id): r.score for r in L.best_sums(spark.createDataFrame(asked, "qid long, term string, last boolean"), spark.createDataFrame(scores, "term string, last boolean, doc_id long, score double"), limit).collect()}
+    for q in range(30):
+        mine = sorted((s for (p, _), s in sums.items() if p == q), reverse=True)
+        least = mine[limit - 1] if len(mine) >= limit else 0
+        best = {d: s for (p, d), s in sums.items() if p == q and s >= least - 1e-9}
+        assert all(got.get((q, d)) == pytest.approx(s) for d, s in best.items())
+    assert all(v == pytest.approx(sums[k]) for k, v in got.items())
+    assert not [k for k in got if k[0] == 99]
