@@ -10,6 +10,7 @@ from recall_engine.operators import evaluate as E, logs, present as P
 from recall_engine.queries import NOW, Book, read
 from recall_engine.queries.search import _ALIAS, _CLICKS, _HITS, _queries, hits_with_files
 from recall_engine.queries.search import TERMS, split_sql, tokens_sql
+from recall_engine.queries.text import _WS
 from recall_engine.streaming import watch
 
 BOOK = Book()
@@ -33,16 +34,41 @@ def explain_reasons(spark, d):
     return P.explain(hits.join(used, ["qid", "id"]), read(spark, d, "files"), _queries(spark, d))
 
 
-@BOOK.add()
+_PLAIN = ("".join(x for letters in P.LETTERS.values() for x in letters), "".join(plain for plain, letters in P.LETTERS.items() for _ in letters))
+
+
+_LOWER = f"translate(lower({{0}}), '{_PLAIN[0]}', '{_PLAIN[1]}')"
+_JUNK = "[\\x{0000}\\x{e000}-\\x{f8ff}\\x{fffd}\\x{fffe}\\x{ffff}]"
+
+
+@BOOK.add(f"""WITH {TERMS}, asked AS (SELECT qid, list(term) FILTER (WHERE length(term) >= 2) AS t FROM qt GROUP BY qid),
+  j AS (SELECT h.qid, h.id, coalesce(l.content, '') AS x, t, CASE WHEN sem_rank IS NOT NULL AND (lex_rank IS NULL OR sem_rank < lex_rank) THEN c.start END AS cs
+    FROM {_HITS} h JOIN searches s ON s.id = h.qid LEFT JOIN (SELECT l.id, l.content FROM lexical_index l JOIN files f ON f.id = l.id AND f.status = 'ok') l ON l.id = h.id
+    LEFT JOIN chunks c ON c.row = h.best_row AND c."end" > 0 LEFT JOIN asked a ON a.qid = h.qid),
+  p AS (SELECT *, CASE WHEN cs IS NOT NULL THEN cs WHEN t IS NULL THEN 0
+    ELSE greatest(0, length(regexp_extract({_LOWER.format('x')}, '(?s)^((?:|.*?[^\\p{{L}}\\p{{N}}]))(?:' || array_to_string(t, '|') || ')', 1)) - 73) END AS p0 FROM j),
+  q AS (SELECT *, CASE WHEN p0 > 0 THEN p0 + instr(substr(x, p0 + 1, 30), ' ') ELSE p0 END AS p1 FROM p),
+  r AS (SELECT *, substr(x, p1 + 1, 220) AS shown, p1 + 220 < length(x) AS more FROM q),
+  c AS (SELECT *, length(regexp_extract(shown, '(?s)^.* ')) - 1 AS cut FROM r),
+  w AS (SELECT *, trim(regexp_replace(regexp_replace(CASE WHEN more AND cut > 154 THEN substr(shown, 1, cut) ELSE shown END, '{_JUNK}', ' ', 'g'), '{_WS}+', ' ', 'g')) AS line FROM c)
+SELECT qid, id, CASE WHEN x = '' THEN '' ELSE CASE WHEN p1 > 0 THEN '… ' ELSE '' END || line || CASE WHEN more THEN ' …' ELSE '' END END AS text,
+  CASE WHEN x = '' OR t IS NULL THEN 0 ELSE len(list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}]+'), lambda v: len(list_filter(t, lambda y: starts_with({_LOWER.format('v')}, y))) > 0)) END AS marks FROM w""")
 def snippets(spark, d):
+    """The excerpt of every logged hit, and how many words are lit up in it."""
     rows = P.snippets(_logged(spark, d), read(spark, d, "lexical_index"), read(spark, d, "files"), read(spark, d, "chunks"), _queries(spark, d))
-    return rows.select("qid", "id", "snippet.text", "snippet.ranges")
+    return rows.select("qid", "id", "snippet.text", F.size("snippet.ranges").cast("long").alias("marks"))
 
 
-@BOOK.add()
+@BOOK.add(f"""WITH {TERMS}, asked AS (SELECT qid, list(term) FILTER (WHERE length(term) >= 2) AS t FROM qt GROUP BY qid),
+  named AS (SELECT h.qid, h.id, regexp_extract_all(f.name, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS p FROM {_HITS} h JOIN files f USING (id)),
+  piece AS (SELECT qid, id, unnest(p) AS p, unnest(range(1, len(p) + 1)) AS i FROM named),
+  placed AS (SELECT *, sum(length(p)) OVER (PARTITION BY qid, id ORDER BY i) AS upto FROM piece)
+SELECT qid, id, CAST(upto - length(p) AS INT) AS start, CAST(upto AS INT) AS "end" FROM placed JOIN asked USING (qid)
+WHERE regexp_matches(p, '^[\\p{{L}}\\p{{N}}]') AND len(list_filter(t, lambda x: starts_with(translate(lower(p), '{_PLAIN[0]}', '{_PLAIN[1]}'), x))) > 0""")
 def highlights(spark, d):
+    """Every word of the names of logged hits that begins with a word of the search."""
     rows = _logged(spark, d).join(read(spark, d, "files").select("id", "name"), "id").join(_queries(spark, d).select("qid", query_words("text").alias("terms")), "qid")
-    return rows.select("qid", "id", P.highlights("name", "terms").alias("ranges"))
+    return rows.select("qid", "id", F.inline(P.highlights("name", "terms")))
 
 
 @BOOK.add("""WITH h AS (SELECT search_id AS qid, id, min(best_row) AS best_row FROM hits GROUP BY ALL)
@@ -54,10 +80,16 @@ def rerank_passages(spark, d):
     return P.passages(h, read(spark, d, "files"), read(spark, d, "lexical_index"), read(spark, d, "chunks")).select("qid", "id", "passage")
 
 
-@BOOK.add()
+@BOOK.add(f"""WITH h AS (SELECT search_id AS qid, id, max(score) AS score, min(lex_rank) AS lex_rank, min(sem_rank) AS sem_rank FROM hits GROUP BY ALL)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, id) - 1 AS place, id, name, path,
+  CASE WHEN root <> '' THEN '~/' || root ELSE '' END || CASE WHEN rel_parent <> '' THEN '/' || rel_parent ELSE '' END AS parent, ext, kind, size, mtime, last_used, dataless, status, lex_rank, sem_rank, CAST(round(CAST(score AS DECIMAL(30, 12)), 5) AS DOUBLE) AS score
+FROM h JOIN files USING (id)""")
 def results_json(spark, d):
+    """Results as JSON objects, read again."""
     h = read(spark, d, "hits").groupBy(F.col("search_id").alias("qid"), "id").agg(F.max("score").alias("score"), F.min("lex_rank").alias("lex_rank"), F.min("sem_rank").alias("sem_rank"))
-    return P.result_json(h.join(hits_with_files(spark, d), ["qid", "id"]), read(spark, d, "files"))
+    rows = P.result_json(h.join(hits_with_files(spark, d), ["qid", "id"]), read(spark, d, "files"))
+    fields = "id long, name string, path string, parent string, ext string, kind string, size long, mtime double, last_used double, dataless boolean, status string, lex_rank int, sem_rank int, score double"
+    return rows.select("qid", "place", F.from_json("result", fields).alias("r")).select("qid", "place", "r.*")
 
 
 # ---------------------------------------------------------------- evaluation: a search expects the files that were opened after its words
