@@ -297,7 +297,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FA
         return radius * factor
 
     def compare(table: pa.Table) -> pa.Table:
-        x, role = _unit(_matrix(table["q"], dim)), table["role"].to_numpy()
+        q = _matrix(table["q"], dim)
+        x, role = _unit(q), table["role"].to_numpy()
         row, file, margin = table["key"].to_numpy(), table["file"].to_numpy(), table["margin"].to_numpy()
         inside, asks = np.flatnonzero(role == STORED), np.flatnonzero(role == ASKED)
         # the k-th nearest of the sample is among the rows, so nothing worse than it is needed
@@ -312,38 +313,40 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 20, factor: float = FA
             if not found:
                 return
             a, c, w = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((w, -c, a))
+            order = np.lexsort((row[w], -c, a))
             a, c, w = a[order], c[order], w[order]
             start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
             place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-            keep = place < k
             last = place == k - 1
-            least[a[last]] = np.maximum(least[a[last]], c[last])
+            least[a[last]] = np.maximum(least[a[last]], c[last] - np.float32(2e-6))
+            keep = (place < k) | (c >= least[a])  # as good ones stay until cosines are told exactly
             found[:] = [(a[keep], c[keep], w[keep])]
             held = int(keep.sum())
 
-        def visit(s: np.ndarray, q: np.ndarray) -> None:
+        def visit(s: np.ndarray, who: np.ndarray) -> None:
             nonlocal held
             s = inside[s]
-            for at in range(0, len(q), 4096):
-                part = q[at : at + 4096]
+            for at in range(0, len(who), 4096):
+                part = who[at : at + 4096]
                 c = x[asks[part]] @ x[s].T
                 i, j = np.nonzero(c >= least[part][:, None])
                 keep = file[asks[part[i]]] != file[s[j]]
                 i, j = i[keep], j[keep]
-                found.append((part[i], c[i, j], row[s[j]]))
+                found.append((part[i], c[i, j], s[j]))
                 held += len(i)
                 if held > 4_000_000:
                     shrink()
 
         walk(x[inside], x[asks], margin[asks], visit)
         shrink()
-        a, c, w = found[0] if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        return pa.table({"rep": row[asks][a], "row_b": w.astype(np.int64), "cosine": c.astype(np.float64)})
+        a, _, w = found[0] if found else (np.zeros(0, np.int64),) * 3
+        u, v = q[asks[a]].astype(np.int64), q[w].astype(np.int64)
+        size = np.einsum("ij,ij->i", u, u).astype(float) * np.einsum("ij,ij->i", v, v)
+        return pa.table({"rep": row[asks[a]], "row_b": row[w], "cosine": np.einsum("ij,ij->i", u, v) / np.sqrt(size)})
 
     routed = _routed(table, _counted(table, router, margin_of, dim, shard), margin_of, dim)
     found = routed.groupBy("group").applyInArrow(compare, "rep long, row_b long, cosine double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "row_b"))).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc(F.rint(F.col("cosine") * 1e9)), "row_b"))).where(F.col("rank") <= k)
     every_row = asked.join(groups, ["q", "file_id"]).select(F.col("row").alias("row_a"), "rep")
     return every_row.join(ranked, "rep").select("row_a", "rank", "row_b", F.round("cosine", 5).alias("cosine"))
 

@@ -33,6 +33,15 @@ SELECT a.row AS row_a, b.row AS row_b FROM n a JOIN n b ON a.row < b.row AND a.f
 WHERE list_inner_product(a.q, b.q) >= 0.9 * sqrt(a.norm * b.norm)
 """
 
+NEAREST_SQL = """
+WITH v AS (
+  SELECT row, file_id, list_transform(q, lambda x: CAST(x AS DOUBLE)) AS q FROM vectors
+  WHERE file_id <> -1 AND q IS NOT NULL AND list_max(list_transform(q, lambda x: abs(x))) > 0
+), n AS (SELECT row, file_id, q, list_inner_product(q, q) AS norm FROM v),
+p AS (SELECT a.row AS row_a, b.row AS row_b, list_inner_product(a.q, b.q) / sqrt(a.norm * b.norm) AS c FROM n a JOIN n b ON a.file_id <> b.file_id WHERE a.row % 20 = 0)
+SELECT row_a, rank, row_b, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY row_a ORDER BY round(c, 9) DESC, row_b) AS rank FROM p) r WHERE rank <= 10
+"""
+
 P6_SQL = f"""
 WITH g AS (SELECT DISTINCT id, gram FROM ({_grams('lexical_index', 'id', 'content', 3)}) x WHERE n >= 40),
   sizes AS (SELECT id, count(*) AS n FROM g GROUP BY id),
@@ -59,4 +68,4 @@ P9_SQL = f"""
 SELECT DISTINCT d.doc_id, b.item_id FROM ({_grams('documents', 'doc_id', 'text', 13)}) d JOIN ({_grams('benchmark', 'item_id', 'text', 13)}) b ON d.gram = b.gram
 """
 
-ORACLES: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_ranking": RANKING_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_groups": GROUPS_SQL, "p9_found": P9_SQL}
+ORACLES: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_ranking": RANKING_SQL, "p5_found": P5_SQL, "p5_nearest": NEAREST_SQL, "p6_found": P6_SQL, "p6_groups": GROUPS_SQL, "p9_found": P9_SQL}

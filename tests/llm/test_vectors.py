@@ -97,6 +97,22 @@ def test_large_classes_over_several_files_lose_nothing(spark):
     assert {tuple(r) for r in V.similar(table, dim=8).collect()} == expected
 
 
+def test_classes_of_any_size_lose_nothing(spark):
+    rng = np.random.default_rng(5)
+    rows, expected = [], 0
+    for size in (63, 65, 1000):
+        q = rng.integers(-100, 101, 16).tolist()
+        files = [int(x) for x in rng.integers(0, 9, size)]
+        rows += [(len(rows) + i, 100 * size + f, q) for i, f in enumerate(files)]
+        alike = sum(n * (n - 1) // 2 for n in np.bincount(files).tolist())
+        expected += size * (size - 1) // 2 - alike
+    table = spark.createDataFrame(rows, "row long, file_id long, q array<int>").withColumn("q", F.col("q").cast("array<tinyint>"))
+    file, vector = {r: f for r, f, _ in rows}, {r: v for r, _, v in rows}
+    got = [tuple(r) for r in V.similar(table, dim=16).collect()]
+    assert len(got) == len(set(got)) == expected
+    assert all(a < b and file[a] != file[b] and vector[a] == vector[b] for a, b in got)
+
+
 def test_links_through_representatives_of_two_tags(spark):
     members = spark.createDataFrame([(1, 1, 5, 7), (2, 1, 5, 7), (3, 1, 5, 8), (4, 1, 5, 8), (5, 1, 5, 9), (6, 6, 1, 7)], "id long, rep long, size long, tag long")
     got = sorted(tuple(r) for r in N.expand(spark.createDataFrame([(1, 6)], "rep_a long, rep_b long"), members, full=4).collect())
