@@ -346,7 +346,7 @@ def repair(text: str) -> tuple[str, int, float, bool]:
     lost = "\ufffd" in text or bool(_LOST.search(text))
     if layers and lost:
         text = re.sub(r"(?<![\w'’\"])Ã(?=\s)", "à", text)  # the second byte was a no-break space, since made a plain one
-    for step in (_unscript, _unconfuse):
+    for step in (_unscript, _unconfuse) if layers else (_unconfuse,):
         new, fell = step(text)
         if fell >= DROP:
             text, drop = new, drop + fell
