@@ -195,13 +195,13 @@ def _matcher(held, n: int, near: int):
         term = table["term"].to_pylist()
         at = term.index(None)
         docs, begins = np.array(table["docs"][at].as_py(), np.int64), np.array(table["starts"][at].as_py(), np.int64)
+        number = np.searchsorted(asked.vocabulary, np.array([t or 0 for t in term], np.int64).view(np.uint64)).tolist()
         lists, size = {}, 0
-        for t, first, count, steps in zip(term, table["first"].to_pylist(), table["n"].to_pylist(), table["steps"].to_pylist(), strict=True):
+        for t, i, first, count, steps in zip(term, number, table["first"].to_pylist(), table["n"].to_pylist(), table["steps"].to_pylist(), strict=True):
             if t is not None:
                 step = np.frombuffer(steps, "<u4" if len(steps) == 4 * (count - 1) else "<u2").astype(np.int64)
-                x = first + np.concatenate([[0], np.cumsum(step)])
-                lists[int(np.searchsorted(asked.vocabulary, np.array([t]).view(np.uint64)[0]))] = x
-                size = max(size, int(x[-1]) + 1)
+                lists[i] = first + np.concatenate([[0], np.cumsum(step)])
+                size = max(size, int(lists[i][-1]) + 1)
         text, item, longest, close = matches_of(asked, places, starts, lists, begins, size, n, near)
         return pa.table({"doc_id": docs[text], "item_id": asked.ids[item], "run": longest.astype(np.int32), "near": close.astype(np.int32)})
 
