@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recall_engine.functions.queryparse import Parsed, merge_filters
-from recall_engine.functions.vocabulary import EXTRACTABLE, KINDS, SENSITIVE, TEXT_LIKE
+from recall_engine.functions.vocabulary import EXTRACTABLE, KINDS, SENSITIVE, SKIPPED_FILES, SKIPPED_FOLDERS, SKIPPED_SUFFIXES, TEXT_LIKE
 from recall_engine.operators import catalog as C
 from recall_engine.queries import NOW, Book, read
+from recall_engine.sources import files as sources
 
 BOOK = Book()
 _q = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
@@ -255,3 +256,25 @@ def compact_vectors(spark, d):
   count(*) FILTER (WHERE file_id >= 0) AS vectors, round(avg(CASE WHEN file_id < 0 THEN 1.0 ELSE 0.0 END), 9) AS dead FROM vectors""".replace("list((status, n) ORDER BY status)", "map_from_entries(list((status, n) ORDER BY status))").replace("list((kind, n) ORDER BY kind)", "map_from_entries(list((kind, n) ORDER BY kind))"))
 def status_report(spark, d):
     return C.status_report(_files(spark, d), read(spark, d, "vectors")).withColumn("dead", F.round("dead", 9))
+
+
+@BOOK.add(f"""WITH r AS (SELECT DISTINCT root FROM scan_entries WHERE root IS NOT NULL), top AS (SELECT root FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.root <> r.root AND starts_with(r.root, q.root || '/'))),
+  e AS (SELECT DISTINCT path FROM scan_entries WHERE path IS NOT NULL),
+  m AS (SELECT e.path, t.root, string_split(substr(e.path, length(t.root) + 2), '/') AS p FROM e LEFT JOIN top t ON starts_with(e.path, t.root || '/'))
+SELECT path, root IS NULL OR len(list_filter(p[1:len(p) - 1], lambda x: starts_with(x, '.') OR list_contains([{_q(SKIPPED_FOLDERS)}], x) OR len(list_filter([{_q(SKIPPED_SUFFIXES)}], lambda y: ends_with(x, y))) > 0)) > 0
+  OR starts_with(p[-1], '.') OR len(list_filter([{_q(SKIPPED_FILES)}], lambda g: p[-1] GLOB g)) > 0 AS excluded FROM m""")
+def excluded_paths(spark, d):
+    """Which paths of the scans lie in folders, or have names, that are left out."""
+    rows = read(spark, d, "scan_entries").select("path", "root")
+    roots = C.distinct_roots([r.root for r in rows.select("root").where("root is not null").distinct().collect()])  # roots are configured, few
+    return rows.where("path is not null").select("path").distinct().select("path", sources.excluded(F.col("path"), roots).alias("excluded"))
+
+
+@BOOK.add(f"""WITH w AS (SELECT root, sum({_WORK}) AS total, coalesce(sum({_WORK}) FILTER (WHERE NOT ({_STALE})), 0) AS done FROM files GROUP BY root)
+SELECT root, CASE WHEN total > 0 THEN round_even(100 * done / total, 1) ELSE 0 END AS percent, CASE WHEN done / 2 > 0 THEN round(greatest(0, (total - done) * 60.0 / (done / 2)), 6) END AS seconds FROM w""")
+def progress_by_root(spark, d):
+    """How far the index of each root is, and the time left if half of it was done in the last minute."""
+    work = C.work_weight()
+    sums = _files(spark, d).groupBy("root").agg(F.sum(work).alias("total"), F.sum(F.when(C.stale(), 0.0).otherwise(work)).alias("done"))
+    percent, left = C.progress(F.col("done"), F.col("total"), F.col("done") / 2, F.lit(60.0))
+    return sums.select("root", percent.alias("percent"), F.round(left, 6).alias("seconds"))

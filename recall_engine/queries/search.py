@@ -207,6 +207,17 @@ def quantisation_error(spark, d):
     return rows.agg(F.count("*").alias("n"), F.count_if(off <= F.col("scale") / 2 + 1e-6).alias("within"))
 
 
+@BOOK.add("""WITH e AS (SELECT vec_id // 4 AS g, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 3 <> 0),
+  m AS (SELECT g, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY g, i), n AS (SELECT g, sqrt(sum(x * x)) AS n FROM m GROUP BY g)
+SELECT g, list(round(CAST(CAST(x / greatest(n, 1e-12) AS FLOAT) AS DOUBLE), 4) + 0.0 ORDER BY i) AS pooled FROM m JOIN n USING (g) GROUP BY g""")
+def mean_pool(spark, d):
+    """Vectors of four rows each pooled to one; every third row is masked."""
+    rows = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("g"), F.struct("vec_id", "embedding", (F.col("vec_id") % 3 != 0).cast("int").alias("m")).alias("x"))
+    grouped = rows.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    pooled = S.mean_pool(F.col("x.embedding"), F.col("x.m"))
+    return grouped.select("g", F.transform(pooled, lambda v: F.round(v.cast("double"), 4) + F.lit(0.0)).alias("pooled")).where("pooled is not null")
+
+
 # ---------------------------------------------------------------- fusion
 
 _HITS = "(SELECT search_id AS qid, id, min(lex_rank) AS lex_rank, min(sem_rank) AS sem_rank, max(best_row) AS best_row FROM hits GROUP BY search_id, id)"

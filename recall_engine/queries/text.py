@@ -82,6 +82,19 @@ def context_label(spark, d):
     return read(spark, d, "files").select("id", X.context_label("name", "rel_parent").alias("label"))
 
 
+@BOOK.add(f"""
+WITH a AS (SELECT id, {split_sql("CASE WHEN contains(name, '.') THEN regexp_replace(name, '[.][^.]*$', '') ELSE name END")} AS label,
+  list_transform(list_filter(string_split(rel_parent, '/'), lambda p: p <> ''), lambda p: {split_sql('p')}) AS f FROM files),
+  b AS (SELECT id, CASE WHEN len(f) > 0 THEN label || ' — ' || array_to_string(f[greatest(1, len(f) - 2):], ' / ') ELSE label END AS label FROM a)
+SELECT c.row, b.label || chr(10) || substr(l.content, c.start + 1, c."end" - c.start) AS passage FROM chunks c JOIN b ON b.id = c.file_id JOIN lexical_index l ON l.id = c.file_id WHERE c."end" > 0 AND l.content IS NOT NULL""")
+def chunk_passages(spark, d):
+    """What is embedded for each chunk: the label of its file, then its text."""
+    files = read(spark, d, "files").select(F.col("id").alias("file_id"), "name", "rel_parent")
+    content = read(spark, d, "lexical_index").where("content is not null").select(F.col("id").alias("file_id"), "content")
+    rows = read(spark, d, "chunks").where("end > 0").join(files, "file_id").join(content, "file_id")
+    return rows.select("row", X.passage("name", "rel_parent", F.expr("substring(content, start + 1, end - start)")).alias("passage"))
+
+
 @BOOK.add(f"""
 WITH w AS (SELECT id, {words_sql('query')} AS w FROM searches), k AS (SELECT id, w, list_filter(w, lambda x: NOT list_contains([{_STOP}], x)) AS k FROM w)
 SELECT id, CASE WHEN len(k) > 0 THEN k ELSE w END AS kept FROM k""")

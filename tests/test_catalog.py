@@ -61,3 +61,15 @@ def test_percentile_is_the_nearest_rank(spark):
     assert E.percentile_exact(rows, "ms", 0.95).first()[0] == 5.0
     assert E.percentile_exact(rows, "ms", 0.5).first()[0] == 3.0
     assert E.percentile_exact(rows.limit(0), "ms", 0.5).count() == 0
+
+
+def test_tables_are_released(spark):
+    from recall_engine.plans import tables
+
+    df = tables.materialize(spark.range(3), "short")
+    folder = df.__dict__["_folder"]
+    assert df.count() == 3 and any(p == folder for _, p in tables._made)
+    tables.release(df, df)
+    assert all(p != folder for _, p in tables._made)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
