@@ -330,6 +330,36 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages with a word changed, left out or put in every so often come out as phrase or proximity matches."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(3000)]
+    items, docs = [], []
+    for i in range(120):
+        passage = rng.choice(words, 40).tolist()
+        items.append((i, " ".join(passage)))
+        edited = []
+        for j, w in enumerate(passage):
+            if j % 14 == 9:
+                edited += [[w, "neu"], [], ["ander"]][(i + j) % 3]
+            else:
+                edited.append(w)
+        docs.append((i, " ".join([*rng.choice(words, 30), *edited, *rng.choice(words, 30)])))
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & {(i, i) for i in range(120)}) >= 0.98 * 120 and len(got) <= 122
+
+
+def test_shards_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "SHARD", 2000)
+    monkeypatch.setattr(leaks, "PLACES", 500)
+    w = PASSAGE.split()
+    docs = [(i, "mot " * (i * 3 % 50) + " ".join(w[i % 5 : i % 5 + 14])) for i in range(200)] + [(999, "rare " + "mot " * 80_000 + "rare " + PASSAGE)]
+    index = leaks.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert index.table.select("shard").distinct().count() > 3
+    got = {r.doc_id for r in leaks.search(index, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")).where("match = 'phrase'").collect()}
+    assert got == {i for i, _ in docs}
+
+
 # ---------------------------------------------------------------- spam
 
 
