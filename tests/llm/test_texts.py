@@ -385,6 +385,14 @@ def test_information_decides(spark):
     assert found - without and found - links
 
 
+def test_names_of_places_and_hosts():
+    common = np.sort(Words(["pont le haut sur lue la de est à une"]).hash)
+    slugs = "matelas-pont-lue, matelas-sur-lue, plombier-pont-le-haut, plombier-sur-lue"
+    x = spam.lists_of(["plombier Pont-sur-Lue - plombier Pont-le-Haut - vitrier Pont-sur-Lue", "la rue de Pont-sur-Lue est à la une de Pont-le-Haut", slugs, f"la rue est à la une de la rue {slugs}", "a.test, bb.example et cc.fr/x"], common)
+    assert x["listed"].round(2).tolist()[:3] == [1.0, 0.0, 1.0] and 0.4 < x["listed"][3] < 0.7
+    assert x["linked"][4] == pytest.approx(5 / 8) and x["linked"][0] == 0
+
+
 def test_lists_without_evidence_are_no_spam(spark):
     rows = spark.createDataFrame([(20, 0.55, 0.0), (20, 0.55, 0.2), (5, 1.0, 1.0)], "words long, listed double, evidence double")
     assert [r[0] for r in rows.select(spam.is_spam()).collect()] == [False, True, False]
