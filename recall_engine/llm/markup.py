@@ -4,7 +4,8 @@ Method: equivalence-class template deduction. The markup tokens of every record
 host (the root of the path) tokens that share their occurrence vector form a class; classes whose tokens stand in one
 order in every record are valid and nest into the host's template, and what is left between its tokens are the slots.
 The kinds of a record are those of the classes it is in and of the markup in its slots; a record alone with its markup
-has no template, it is one slot as a whole.
+has no template, it is one slot as a whole. What a text alone leaves open, an element or a placeholder in angle brackets,
+is told by the class only: it is markup where a tag and its end are in one valid class.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SUPPORT = 3
 
 _ATTRIBUTE = r"""(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))*(?:\s+[\w-]+)?"""
 _TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]{{0,15}})({_ATTRIBUTE})\s*/?>|<!DOCTYPE[^>]*>|<\?xml[^>]*>", re.I)
+#: Tags of other names (x-card, o:p), which may as well be placeholders.
+_OPEN = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]*(?:[:._-][a-zA-Z0-9]+)*)({_ATTRIBUTE})\s*>")
 _BOOLEAN = re.compile(r"(?:^|\s)(?:disabled|checked|selected|hidden|async|defer|required|readonly|multiple|controls|open|reversed|nowrap|noshade|compact)\s*$", re.I)
 _ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n`]*\n(.*?)(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
@@ -106,10 +109,15 @@ def _sample_free(text: str) -> tuple[str, list[Mark]]:
 
 #: Tags that are marks of a wiki.
 _WIKI_TAGS = {"ref", "nowiki", "syntaxhighlight", "gallery", "math", "references"}
+#: The kind of tags that a valid class makes html.
+UNDECIDED = "html?"
 
 
-def marks_of(text: str) -> list[Mark]:
-    """Every piece of markup in order of kinds, with its place in the text; code samples are looked at from outside only."""
+def marks_of(text: str, undecided: bool = False) -> list[Mark]:
+    """Every piece of markup in order of kinds, with its place in the text; code samples are looked at from outside only.
+
+    undecided adds tags that only a template can tell from placeholders, as kind UNDECIDED.
+    """
     bare, out = _sample_free(text)
     put = lambda m, kind, token: out.append((m.start(), m.end(), kind, token))
     if "<" in bare:
@@ -123,6 +131,9 @@ def marks_of(text: str) -> list[Mark]:
                 continue  # words, as of a comparison
             put(m, "wiki" if name in _WIKI_TAGS else "html", f"<{m.group(1) or ''}{name}>")
         bare = _TAG.sub(lambda m: " " * len(m.group()), bare)
+        if undecided and "<" in bare:
+            for m in _OPEN.finditer(bare):
+                put(m, UNDECIDED, f"<{m.group(1)}{m.group(2).lower()}>")
     if "&" in bare:
         for m in _ENTITY.finditer(bare):
             if m.group()[1] == "#" or m.group()[1:] in html.entities.html5:
@@ -259,8 +270,9 @@ _SCANNED = "id long, host string, kinds array<string>, tokens array<string>, cou
 
 
 def scan(records: DataFrame, with_content: bool = False) -> DataFrame:
-    """id, host, kinds, tokens with counts and order of first occurrence, of every record with markup.
+    """id, host, kinds, tokens with counts and order of first occurrence, of every record with markup or undecided tags.
 
+    Undecided tags are tokens but give no kind, so that kinds is empty for a record of such tags only.
     records(id, content, ext, path): null and empty contents, and those of source code, have no row; ext is compared in
     lower case, a null ext is none. Repeated rows stay, null ids stay null, other columns are ignored. No shuffle.
     content is the clean text, only if asked for.
@@ -271,12 +283,12 @@ def scan(records: DataFrame, with_content: bool = False) -> DataFrame:
             for low, high in slices(b.column(2)):
                 out: list[tuple] = []
                 for i, t in enumerate(b.column(2).slice(low, high - low).to_pylist(), low):
-                    found = marks_of(t)
+                    found = marks_of(t, undecided=True)
                     if found:
                         seen: dict[str, list[int]] = {}
                         for begin, _, kind, token in found:
                             seen.setdefault(f"{kind} {token}", []).append(begin)
-                        kinds = sorted({k for _, _, k, _ in found})
+                        kinds = sorted({k for _, _, k, _ in found} - {UNDECIDED})
                         out.append((i, kinds, list(seen), [len(x) for x in seen.values()], [min(x) for x in seen.values()], clean(t, set(kinds)) if with_content else None))
                 at, kinds, tokens, counts, first, text = zip(*out, strict=True) if out else ((),) * 6
                 rows = pa.array(at, pa.int64())
@@ -295,13 +307,17 @@ def templates(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
     Occurrence vectors are compared through sums of hashes of (record, count), which are combined before the shuffle, so
     no list of a host's records is gathered. A class is valid if it has two tokens or more, occurs in at least support
     records and its tokens stand in the same order in each; parent is the smallest valid class whose records hold those
-    of the class, if there is one. Records without markup and hosts without templates give no rows.
+    of the class, if there is one. Records without markup and hosts without templates give no rows. An undecided tag is
+    left out unless its counterpart, the end or the beginning of its element, has the same vector.
     """
     each = scanned.select("host", "id", F.explode(F.arrays_zip("tokens", "counts", "first")).alias("x")).select("host", "id", F.col("x.tokens").alias("token"), F.col("x.counts").alias("n"), F.col("x.first").alias("at"))
     # decimal sums can't overflow
     mark = lambda salt: F.sum(F.xxhash64(F.lit(salt), "id", "n").cast("decimal(38,0)"))
     vectors = each.groupBy("host", "token").agg(mark(1).alias("v1"), mark(2).alias("v2"), F.count("*").alias("records"), F.avg("at").alias("mean_at")).where(F.col("records") >= support)
-    named = vectors.withColumn("template", F.xxhash64("host", "v1", "v2"))
+    open_tag = F.col("token").startswith(f"{UNDECIDED} ")
+    element = F.when(open_tag, F.regexp_replace("token", "</?", "")).otherwise(F.col("token"))
+    named = vectors.withColumn("template", F.xxhash64("host", "v1", "v2")).withColumn("element", element)
+    named = named.withColumn("ends", F.count("*").over(Window.partitionBy("host", "template", "element"))).where(~open_tag | (F.col("ends") == 2)).drop("element", "ends")
     big = named.groupBy("host", "template").agg(F.count("*").alias("size")).where("size > 1").select("host", "template")
     member = named.join(big, ["host", "template"]).withColumn("place", F.row_number().over(Window.partitionBy("host", "template").orderBy("mean_at", "token")))
     in_page = each.join(member.select("host", "token", "template", "place"), ["host", "token"])
@@ -318,14 +334,17 @@ def templates(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def kinds(scanned: DataFrame, found: DataFrame) -> DataFrame:
-    """id, markup, source of every record of scan() and kind of markup in it; source is 'template' where a valid class of
+    """id, markup, source of every record of scan() and kind of markup in it; an undecided tag is html where a valid class
+    holds it, else nothing. source is 'template' where a valid class of
     its host has the kind in the record, 'slot' where the kind stands in the slots of its template only, and 'alone' for a
     record in no template. Repeated rows count each, a null id stays null, an empty table gives no rows. Templates are
     joined by host and token, which are few against the records."""
     each = scanned.select("id", "host", "tokens", F.monotonically_increasing_id().alias("row")).select("id", "host", "row", F.explode("tokens").alias("token"))
     classes = found.select("host", "token", F.lit(True).alias("held")).distinct()
     marked = each.join(classes, ["host", "token"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    by_kind = marked.groupBy("row", "id", F.substring_index("token", " ", 1).alias("markup")).agg(F.max("held").alias("held"))
+    marked = marked.where(F.col("held") | ~F.col("token").startswith(f"{UNDECIDED} "))
+    kind = F.rtrim(F.substring_index("token", " ", 1), F.lit("?"))
+    by_kind = marked.groupBy("row", "id", kind.alias("markup")).agg(F.max("held").alias("held"))
     any_held = F.max("held").over(Window.partitionBy("row"))
     source = F.when(F.col("held"), "template").when(any_held, "slot").otherwise("alone")
     return by_kind.withColumn("source", source).select("id", "markup", "source")
@@ -334,7 +353,7 @@ def kinds(scanned: DataFrame, found: DataFrame) -> DataFrame:
 def _slots_of(text: str, template: dict[str, int], kinds: set[str]) -> list[tuple[int | None, str]]:
     """(template, clean text) of the stretches between the marks whose tokens are in valid classes, nested ones and every
     occurrence included; a stretch belongs to the class of the mark before it, the first one to that after it. Empty ones are left out."""
-    cuts = sorted((begin, end, template[f"{kind} {token}"]) for begin, end, kind, token in marks_of(text) if f"{kind} {token}" in template)
+    cuts = sorted((begin, end, template[f"{kind} {token}"]) for begin, end, kind, token in marks_of(text, undecided=True) if f"{kind} {token}" in template)
     out, at, owner = [], 0, cuts[0][2] if cuts else None
     for begin, end, name in [*cuts, (len(text), len(text), None)]:
         if begin > at and (piece := clean(text[at:begin], kinds)):
@@ -370,7 +389,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_index(spark, sf_dir), with_content=True).select("id", "kinds", "content")
+    return scan(_index(spark, sf_dir), with_content=True).where("size(kinds) > 0").select("id", "kinds", "content")
 
 
 def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,19 @@ def test_kinds_through_templates(spark):
     assert sorted(got, key=str) == sorted([(0, "html", "template"), (1, "html", "template"), (2, "html", "template"), (3, "html", "template"), (3, "markdown", "slot"), (4, "markdown", "alone"), (4, "markdown", "alone"), (None, "markdown", "alone")], key=str)
 
 
+def test_templates_tell_tags_from_placeholders(spark):
+    """The rows of p1_found depend on the classes: a record alone can't tell an element from a placeholder."""
+    note, form = "## Titre {0}\n\n<x-note kind=\"a\">texte {0}</x-note>", "pour <nom-client>, le <date-debut> et {0}"
+    rows = [(i, note.format(i), "md", "S/a") for i in range(3)] + [(3 + i, form.format(i), "txt", "S/a") for i in range(3)] + [(6, "<y-card>seul</y-card>", "txt", "S"), (7, "<o:p>{0}</o:p>", "txt", "T"), (8, "<o:p>x</o:p>", "txt", "T"), (None, "<o:p>y</o:p>", "txt", "T")]
+    table = spark.createDataFrame(rows, "id long, content string, ext string, path string")
+    scanned = markup.scan(table)
+    found = markup.templates(scanned)
+    got = {(r.id, r.markup, r.source) for r in markup.kinds(scanned, found).collect()}
+    assert got == {(i, k, "template") for i in range(3) for k in ("markdown", "html")} | {(i, "html", "template") for i in (7, 8, None)}
+    assert {(r.id, r.markup) for r in markup.kinds(scanned, found.limit(0)).collect()} == {(i, "markdown") for i in range(3)}
+    assert (1, "texte 1") in {(r.id, r.content) for r in markup.slots(table, scanned, found).collect()}
+
+
 def test_slots_of_nested_classes_and_repeated_tokens(spark):
     row = "<li>{0}</li>"
     page = "<html><body><ul>{0}</ul></body></html>"
