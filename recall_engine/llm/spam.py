@@ -4,8 +4,10 @@ Method: pointwise mutual information (PMI) of neighbouring words from corpus cou
 pair of neighbours, without a floor. A second one finds the stretches of a text that stand apart from the common words of
 the languages: lists of some kind, of which only some are spam. Their pairs meet the counts of the corpus: a pair is
 evidence if it is bound far more than the pairs of the corpus are on average, if it is bound more and recurs in the text
-(an excessively repeated collocation), or if it is bound far less (word salad). A text is spam if its share of listed
-words and its share of evidence, links included, together say that it is mostly such a list.
+(an excessively repeated collocation), or if it is bound far less (word salad). In sentences pairs of all kinds are usual,
+so over all positions a pair is evidence only if it is repeated and bound to its text more than neighbours are to each
+other. A text is spam if its share of listed words and its share of evidence, links included, together say that it is
+mostly such a list, or if pairs of the second kind are most of its pairs, wherever they stand.
 """
 
 from __future__ import annotations
@@ -30,9 +32,13 @@ SIDE, SENTENCE = 4, 0.45
 NUMBER = 0.6
 #: Bits above the mean PMI of the corpus from which a pair is bound far more, and below it from which it is bound far less. The deviation of PMI over pairs is about 2.8 bits in running text: half of it, and the whole.
 BOUND, LOOSE = 1.4, 2.8
+#: Times a pair stands in a text at least to be evidence outside lists, where names and terms come twice without being stuffed.
+REPEATED = 3
 #: What the share of listed words and the share of evidence sum to in a spam text: half of its words stand in lists, less
 #: the edges of windows, and a part of their pairs is evidence.
 SPAM = 0.65
+#: Share of repeated pairs, in lists or not, above which a text is spam by them alone.
+HALF = 0.5
 #: Words a text has at least to be judged.
 LEAST = 8
 #: Entries a worker holds before it hands on its partial counts.
@@ -130,9 +136,10 @@ def links_in(text: str) -> Iterator[tuple[int, int]]:
 
 
 def lists_of(texts: list[str], common: np.ndarray) -> dict[str, object]:
-    """Of each text: words, listed and linked (shares of words), and its pairs of neighbours in lists outside links.
+    """Of each text: words, listed and linked (shares of words), and its pairs of neighbours outside links that may be evidence.
 
-    common: sorted hashes of the common words. pairs is (text, word, next word, pair, times), one for each distinct pair of a text.
+    common: sorted hashes of the common words. pairs is (text, word, next word, pair, times in lists, times, has a number),
+    one for each distinct pair of a text that stands in a list, or at least REPEATED times anywhere without a number.
     """
     w = Words(texts)
     n = np.diff(w.first)
@@ -162,15 +169,20 @@ def lists_of(texts: list[str], common: np.ndarray) -> dict[str, object]:
     listed = link | run | np.where(some, np.append(near, 0.0)[np.maximum(before, 0)] < SENTENCE, True)
     key, of = _pairs(w)
     left = np.flatnonzero(text[:-1] == text[1:]) if len(text) > 1 else np.zeros(0, np.int64)
-    kept = np.flatnonzero(listed[left] & listed[left + 1] & ~(link[left] & link[left + 1]))
+    kept = np.flatnonzero(~(link[left] & link[left + 1]))
     own = mix(key[kept] ^ mix(of[kept].astype(np.uint64) + np.uint64(1)))
-    _, one, times = np.unique(own, return_index=True, return_counts=True)
-    order = np.argsort(of[kept][one], kind="stable")
-    one, times = kept[one[order]], times[order]
-    return {"words": n.astype(np.int64), "listed": each(listed), "linked": each(link), "pairs": (of[one], w.hash[left[one]], w.hash[left[one] + 1], key[one], times)}
+    _, one, same, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+    in_list = np.bincount(same, (listed[left] & listed[left + 1])[kept], len(one)).astype(np.int64)
+    one = kept[one]
+    # figures that recur, as in logs and tables, are no keywords
+    figure = number[left[one]] | number[left[one] + 1]
+    needed = np.flatnonzero((in_list > 0) | ((times >= REPEATED) & ~figure))
+    order = needed[np.argsort(of[one[needed]], kind="stable")]
+    in_list, times, figure, one = in_list[order], times[order], figure[order], one[order]
+    return {"words": n.astype(np.int64), "listed": each(listed), "linked": each(link), "pairs": (of[one], w.hash[left[one]], w.hash[left[one] + 1], key[one], in_list, times, figure)}
 
 
-_LISTED = "row long, doc_id long, words long, listed double, linked double, pairs array<struct<a:long,b:long,ab:long,times:int>>"
+_LISTED = "row long, doc_id long, words long, listed double, linked double, pairs array<struct<a:long,b:long,ab:long,in_list:int,times:int,figure:boolean>>"
 
 
 def _listed(rows: DataFrame, common: np.ndarray) -> DataFrame:
@@ -183,9 +195,9 @@ def _listed(rows: DataFrame, common: np.ndarray) -> DataFrame:
             for low, high in slices(b.column(1)):
                 x = lists_of(b.column(1).slice(low, high - low).to_pylist(), held.value)
                 n = len(x["words"])
-                of, a, c, ab, times = x["pairs"]
-                fields = [pa.array(v.view(np.int64)) for v in (a, c, ab)] + [pa.array(times.astype(np.int32))]
-                inside = pa.StructArray.from_arrays(fields, names=["a", "b", "ab", "times"])
+                of, a, c, ab, in_list, times, figure = x["pairs"]
+                fields = [pa.array(v.view(np.int64)) for v in (a, c, ab)] + [pa.array(v.astype(np.int32)) for v in (in_list, times)] + [pa.array(figure)]
+                inside = pa.StructArray.from_arrays(fields, names=["a", "b", "ab", "in_list", "times", "figure"])
                 offsets = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
                 arrays = [pa.array(next_row + np.arange(n)), b.column(0).slice(low, high - low), pa.array(x["words"]), pa.array(x["listed"]), pa.array(x["linked"]), pa.ListArray.from_arrays(offsets, inside)]
                 next_row += n
@@ -209,11 +221,14 @@ def corpus_mean(table: DataFrame) -> tuple[float, float, float]:
 def scores(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, words, listed, linked, evidence, list_pmi, corpus_pmi of every text with a word.
 
-    listed and linked are shares of words. evidence is the share of neighbours whose pair is evidence (see above), plus
-    linked; list_pmi the mean PMI of the pairs in lists, null without any; corpus_pmi the mean of all pairs. Null, empty
+    listed and linked are shares of words. evidence is the share of neighbours that stand in lists and whose pair is
+    evidence (see above), plus linked; or, if that says more, so much that listed and evidence reach SPAM where the share
+    of repeated pairs in the whole text reaches HALF. list_pmi is the mean PMI of the pairs in lists, null without any;
+    corpus_pmi the mean of all pairs. Null, empty
     and wordless texts have no row, repeated rows stay, a null id stays null, other columns are ignored, an empty table
     gives no rows. Counts cover all words and pairs of all texts. Two tables are written while the plan is built: the
-    counts, and the pairs of lists, which are few; only these meet the counts, in the JVM. Texts are never shuffled.
+    counts, and the pairs that stand in lists or are repeated, which are few; only these meet the counts, in the JVM, as
+    no other pair can be evidence. Texts are never shuffled.
     """
     rows = spread(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("length(text) > 0"))
     table = materialize(counts(rows.select("text")), "counts")
@@ -231,9 +246,13 @@ def scores(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     pairs = pairs.withColumn("pmi", pmi)
     over = F.col("pmi") - F.lit(mean)
     odd = (over > BOUND) | ((over > 0) & (F.col("times") >= 2)) | (over < -LOOSE)
-    shown = F.sum(F.when(odd, F.col("times")).otherwise(0)) / F.greatest(F.max("words") - 1, F.lit(1))
-    found = pairs.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "words", "listed", "linked")], shown.alias("evidence"), (F.sum(F.col("pmi") * F.col("times")) / F.sum(F.when(F.col("pmi").isNotNull(), F.col("times")))).alias("list_pmi"))
-    return found.select("doc_id", "words", "listed", "linked", (F.col("evidence") + F.col("linked")).alias("evidence"), "list_pmi", F.lit(mean).alias("corpus_pmi"))
+    # of the pair and its text, as pmi is of a pair's two words
+    own = F.log2(F.col("times") * F.lit(words) / (F.col("n_ab") * F.col("words")))
+    stuffed = ~F.col("figure") & (F.col("times") >= REPEATED) & (own > mean)
+    share = lambda when, times: F.sum(F.when(when, F.col(times)).otherwise(0)) / F.greatest(F.max("words") - 1, F.lit(1))
+    found = pairs.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "words", "listed", "linked")], share(odd, "in_list").alias("shown"), share(stuffed, "times").alias("repeated"), (F.sum(F.col("pmi") * F.col("in_list")) / F.sum(F.when(F.col("pmi").isNotNull() & (F.col("in_list") > 0), F.col("in_list")))).alias("list_pmi"))
+    evidence = F.greatest(F.col("shown") + F.col("linked"), F.col("repeated") * F.lit(SPAM / HALF) - F.col("listed"))
+    return found.select("doc_id", "words", "listed", "linked", evidence.alias("evidence"), "list_pmi", F.lit(mean).alias("corpus_pmi"))
 
 
 def is_spam() -> F.Column:

@@ -398,6 +398,20 @@ def test_information_decides(spark):
     assert found - without and found - links
 
 
+def test_stuffing_in_sentences(spark):
+    """Repeated pairs are evidence wherever they stand, also where common words keep a text from being a list."""
+    places = ["Paris", "Lyon", "Lille", "Nantes", "Brest", "Nice", "Metz", "Tours"]
+    stuffed = [", ".join(f"le plombier de la ville de {p}" for p in places * 2), " ".join(f"pour un serrurier à {p} il faut un serrurier de {p} et" for p in places)]
+    log = "\n".join(f"2024-03-{d:02} 08:1{d % 10}:22 l'agent de service 10.0.0.7 est à la porte 4 et il a le code 12 30 55" for d in range(1, 20))
+    common = np.sort(Words(["le la de un à il faut pour et est l a"]).hash)
+    of, *_, in_list, times, _ = spam.lists_of([*stuffed, log, "il a vu le chat et le chien"], common)["pairs"]
+    assert {0, 1} <= set(of[times > in_list].tolist()) and 3 not in of
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = corpus.where("doc_id >= 0").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*stuffed, log])], "doc_id long, text string"))
+    got = {r.doc_id: r for r in spam.scores(rows).where("doc_id < 0").withColumn("spam", spam.is_spam()).collect()}
+    assert all(got[i].listed < 0.3 and got[i].spam for i in (-1, -2)) and not got[-3].spam
+
+
 def test_names_of_places_and_hosts():
     common = np.sort(Words(["pont le haut sur lue la de est à une"]).hash)
     slugs = "matelas-pont-lue, matelas-sur-lue, plombier-pont-le-haut, plombier-sur-lue"
