@@ -13,6 +13,8 @@ from recall_engine.operators.lexical import Weights
 from recall_engine.plans.tables import materialize
 
 DAY = 86_400.0
+#: Queries whose words go to every executor at once.
+HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,8 @@ def reciprocal(rank: Column, weight: Column | float = 1.0, k: float = 20.0) -> C
 def fuse(lexical: DataFrame | None, semantic: DataFrame | None, o: Options = Options()) -> DataFrame:
     """qid, id, score, lex_rank, sem_rank, best_row, cos of lexical(qid, doc_id, rank[, weight]) and semantic(per_file).
 
-    The lists are put under each other and summed by record, so a record of one list costs no more than one of both.
+    The lists are put under each other and summed by record, so a record of one list costs no more than one of both. They are
+    shuffled by query, as all that follows needs them.
     """
     empty = {"lex_rank": "int", "sem_rank": "int", "best_row": "long", "cos": "double"}
     sides = []
@@ -91,15 +94,14 @@ def fuse(lexical: DataFrame | None, semantic: DataFrame | None, o: Options = Opt
         sides.append(semantic.select("qid", F.col("file_id").alias("id"), reciprocal(F.col("rank"), bonus, o.rrf_k).alias("score"), F.col("rank").cast("int").alias("sem_rank"), "best_row", "cos"))
     full = [s.withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in s.columns}).select("qid", "id", "score", *empty) for s in sides]
     every = full[0] if len(full) == 1 else full[0].unionByName(full[1])
-    return every.groupBy("qid", "id").agg(F.sum("score").alias("score"), F.min("lex_rank").alias("lex_rank"), F.min("sem_rank").alias("sem_rank"), F.max("best_row").alias("best_row"), F.max("cos").alias("cos"))
+    return every.repartition("qid").groupBy("qid", "id").agg(F.sum("score").alias("score"), F.min("lex_rank").alias("lex_rank"), F.min("sem_rank").alias("sem_rank"), F.max("best_row").alias("best_row"), F.max("cos").alias("cos"))
 
 
 def cut_margin(hits: DataFrame, margin: float = 0.03) -> DataFrame:
     """Hits without those found by meaning only and further than margin below the best cosine of their query."""
     if margin <= 0:
         return hits
-    best = hits.groupBy("qid").agg(F.max("cos").alias("best_cos"))
-    kept = hits.join(best, "qid")
+    kept = hits.withColumn("best_cos", F.max("cos").over(Window.partitionBy("qid")))
     return kept.where(F.col("lex_rank").isNotNull() | F.col("cos").isNull() | (F.col("cos") >= F.col("best_cos") - margin)).drop("best_cos")
 
 
@@ -126,7 +128,7 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
     """Hits with bonus and the score multiplied by 1 + bonus, at least 0.05. Hits of unknown files are left out.
 
     queries(qid, text, exts, date_from, date_to, year_hint, name_terms, recent) as parsed; clicks(qid, id, general,
-    specific). Terms: recency and last use, the word "recent", the exact name, the share of words found in name and
+    specific), unless the hits have these columns already. Terms: recency and last use, the word "recent", the exact name, the share of words found in name and
     folders, folders of copies, names of copies, depth, a year, use, and the softly applied dates and types. With stem,
     words of queries, names and folders are compared by their stems, each of a query and of a file found once.
     """
@@ -145,11 +147,14 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
     f = files.select("id", "name", "ext", "rel_parent", "mtime", "ctime", "last_used", *[v.alias(k) for k, v in read.items()])
     f = f.join(hits.select("id").distinct(), "id", "left_semi")
     f = materialize(f.withColumns({c: terms(F.col(c)) for c in ("name_terms_", "folder_terms_")}), "names")
-    rows = hits.join(f, "id").join(q, "qid")
+    # what is short is joined first, and words of queries and files come last: rows that hold them are not shuffled
     if clicks is not None:
-        rows = rows.join(clicks, ["qid", "id"], "left")
+        rows = hits.join(clicks, ["qid", "id"], "left")
+    elif "general" in hits.columns:
+        rows = hits
     else:
-        rows = rows.withColumn("general", F.lit(None).cast("double")).withColumn("specific", F.lit(None).cast("double"))
+        rows = hits.withColumn("general", F.lit(None).cast("double")).withColumn("specific", F.lit(None).cast("double"))
+    rows = rows.join(f, "id").join(F.broadcast(q) if queries.count() <= HELD else q, "qid")
     name_terms, folder_terms = F.col("name_terms_"), F.col("folder_terms_")
     age = F.lit(now) - F.col("mtime")
     none = F.lit(0.0)
@@ -181,7 +186,7 @@ def signals(hits: DataFrame, files: DataFrame, queries: DataFrame, now: float, o
         inside |= (F.col("name_terms") != "") & F.col("plain_name_").contains(glued)
         bonus += F.when(F.col("date_from").isNull(), none).when(inside, F.lit(o.date_in)).otherwise(F.lit(-o.date_out))
         bonus += F.when(F.size("exts") <= 0, none).when(F.array_contains("exts", F.col("ext")), F.lit(o.type_in)).otherwise(F.lit(-o.type_out))
-    return rows.withColumn("bonus", bonus).withColumn("score", F.col("score") * F.greatest(F.lit(0.05), 1 + F.col("bonus"))).select(*hits.columns, "bonus", F.coalesce("general", none).alias("general"), F.coalesce("specific", none).alias("specific"))
+    return rows.withColumn("bonus", bonus).withColumn("score", F.col("score") * F.greatest(F.lit(0.05), 1 + F.col("bonus"))).select(*[c for c in hits.columns if c not in ("general", "specific")], "bonus", F.coalesce("general", none).alias("general"), F.coalesce("specific", none).alias("specific"))
 
 
 def order() -> list[Column]:

@@ -51,6 +51,8 @@ def searchable(vectors: DataFrame, names: bool = True, content: bool = True) ->
     return rows if content else rows.where("is_name")
 
 
+#: Rows that lists of best rows of all tasks may hold together; above that a task reads all vectors for its part of the queries.
+LISTED = 2_000_000
 #: Lists of best rows that are joined in one step; of more tasks than that, lists are joined in two steps.
 LISTS = 64
 
@@ -92,15 +94,23 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = ROWS, allowed: Dat
 
     Every query is compared with every allowed row, in blocks: the queries, in turns of a bounded number, go to the
     workers, each multiplies them with its rows, keeps the k best of each query over all its batches and passes them on as
-    one list; lists are joined and cut in the JVM. Rows of another length than the query, and null or zero queries, have
+    one list; lists are joined and cut in the JVM. Where the lists of all tasks would be large, each part of the queries has
+    one task that reads all rows, so that only the rows kept come out and nothing is shuffled. Rows of another length than the query, and null or zero queries, have
     no answers. Ties go to the smaller row. The queries are counted while the plan is built.
     """
     if allowed is not None:
         vectors = vectors.join(allowed.select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    rows = spread(vectors.select(F.col("row").cast("long").alias("row"), F.col("file_id").cast("long").alias("file_id"), "q"))
+    plain = vectors.select(F.col("row").cast("long").alias("row"), F.col("file_id").cast("long").alias("file_id"), "q")
+    rows = spread(plain)
     asked = queries.where(F.exists("q", lambda x: x != 0)).select("qid", F.transform("q", lambda x: x.cast("float")).alias("q"))
-    turns = max(1, -(-asked.count() // QUERIES))
+    n = asked.count()
+    turns, kind = max(1, -(-n // QUERIES)), f"qid long, task long, best {_BEST}"
+    alone = n * k * rows._jdf.queryExecution().toRdd().getNumPartitions() > LISTED
     out = None
+    if alone:
+        turns = max(turns, min(n, rows.sparkSession.sparkContext.defaultParallelism))
+        # an empty scan without a known partitioning: a union of single partitions alone would be one task
+        out = plain.where("row < 0 and row > 0").mapInArrow(lambda batches: iter(()), kind)
     for turn in range(turns):
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(turns)) == turn).toArrow()
         held = vectors.sparkSession.sparkContext.broadcast((part["qid"].to_pylist(), part["q"].to_pylist()))
@@ -127,8 +137,10 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = ROWS, allowed: Dat
                 offsets = pa.array(np.searchsorted(best.of[order], np.arange(len(names) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), TaskContext.get().partitionId())), pa.ListArray.from_arrays(offsets, inside)], names=["qid", "task", "best"])
 
-        found = rows.mapInArrow(run, f"qid long, task long, best {_BEST}")
+        found = (plain.coalesce(1) if alone else rows).mapInArrow(run, kind)
         out = found if out is None else out.unionByName(found)
+    if alone:
+        return out.select("qid", F.explode("best").alias("b")).select("qid", "b.row", "b.file_id", "b.cos")
     join = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
     if rows._jdf.queryExecution().toRdd().getNumPartitions() > LISTS:
         out = out.groupBy("qid", F.pmod("task", F.lit(LISTS)).alias("task")).agg(join)
