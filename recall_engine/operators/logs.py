@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from recall_engine.functions.text import fold
+from recall_engine.plans.tables import materialize
 
 DAY = 86_400.0
+#: Rows of clicks that go to every executor at once.
+HELD = 300_000
 
 
 def distinct_clicks(clicks: DataFrame) -> DataFrame:
@@ -50,6 +53,17 @@ def use(clicks: DataFrame, queries: DataFrame, candidates: DataFrame, now: float
     return rows.select("qid", "id", "general", (0.5 * F.col("n")).alias("specific"))
 
 
+def with_use(hits: DataFrame, clicks: DataFrame, queries: DataFrame, now: float) -> DataFrame:
+    """hits(qid, id, ...) with general and specific as in use(). What clicks tell of the queries asked is written first and goes
+    to every executor where it is small, so that the hits are not shuffled."""
+    held = lambda df: F.broadcast(df) if df.count() <= HELD else df
+    keys = materialize(_keys(queries), "keys")
+    general = materialize(general_use(clicks, now), "general")
+    specific = materialize(_beginnings(clicks, now).join(held(keys.select("key").distinct()), "key", "left_semi"), "specific")
+    rows = hits.join(held(keys), "qid", "left").join(held(general), "id", "left").join(held(specific), ["key", "id"], "left")
+    return rows.select(*[hits[c] for c in hits.columns], "general", (0.5 * F.col("n")).alias("specific"))
+
+
 def answered_queries(clicks: DataFrame) -> DataFrame:
     """query, path, last: queries that led to an open, reveal or copy, with the last time."""
     kept = clicks.where(F.col("action").isin("open", "reveal", "copy") & (F.col("query") != ""))

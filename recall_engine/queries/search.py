@@ -343,9 +343,10 @@ def signals_all(spark, d):
 def hybrid(spark, d, o: R.Options = R.Options(), queries=None):
     """The hits of every logged search: keywords and vectors, fused, cut and ranked by the signals."""
     asked = unparsed(_queries(spark, d)) if queries is None else queries
-    fused = materialize(R.cut_margin(R.fuse(*_lists(spark, d, o), o), o.sem_only_margin), "fused")
-    clicks = logs.use(read(spark, d, "clicks"), asked, fused, NOW)
-    return R.top(R.signals(fused, read(spark, d, "files"), asked, NOW, o, clicks), o.limit)
+    fused = R.cut_margin(R.fuse(*_lists(spark, d, o), o), o.sem_only_margin)
+    fused = materialize(fused.select("qid", "id", "score", "lex_rank", "sem_rank"), "fused")
+    used = logs.with_use(fused, read(spark, d, "clicks"), asked, NOW)
+    return R.top(R.signals(used, read(spark, d, "files"), asked, NOW, o), o.limit)
 
 
 _TOP30 = "ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(value, 9) DESC, lex_rank ASC NULLS LAST, sem_rank ASC NULLS LAST, id) - 1 AS place FROM final) r WHERE place < 30)"

@@ -171,3 +171,28 @@ def test_an_index_is_counted_without_a_shuffle(spark):
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Aggregate" not in plan
     assert {(r.field, r.term, r.len, r.tf) for r in counted.where("doc_id = 2").collect()} == {("name", "facture", 2, 1), ("name", "pdf", 2, 1), ("path", "docs", 1, 1), ("content", "cuisine", 3, 2), ("content", "facture", 3, 1)}
+
+
+def test_vectors_of_many_queries_without_lists_of_all_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    q = rng.integers(-127, 128, (400, 8))
+    vectors = spark.createDataFrame([(i, i // 2, False, q[i].tolist()) for i in range(400)], "row long, file_id long, is_name boolean, q array<int>")
+    asked = spark.createDataFrame([(i, q[-i].tolist()) for i in range(60)], "qid long, q array<int>")
+    rows = lambda: sorted((r.qid, r.row, r.file_id, round(r.cos, 9)) for r in S.top_rows(vectors, asked, 9).collect())
+    listed = rows()
+    monkeypatch.setattr(S, "LISTED", 0)
+    assert rows() == listed and len(listed) == 540
+    plan = S.top_rows(vectors, asked, 9)._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString() and plan.toRdd().getNumPartitions() > 1
+
+
+def test_use_of_hits_and_words_of_queries_without_a_shuffle(spark):
+    now = 1e9
+    clicks = spark.createDataFrame([(1, now - 86400, "facture edf", 7), (2, now - 90000, "facture", 7), (3, now - 86400, "autre", 8)], "id long, at double, query string, file_id long")
+    clicks = clicks.select("id", F.timestamp_seconds("at").alias("ts"), "query", "file_id")
+    asked = spark.createDataFrame([(1, "factu"), (2, "autre"), (3, "")], "qid long, text string")
+    hits = spark.createDataFrame([(q, i, 1.0, 0, None) for q in (1, 2, 3) for i in (7, 8, 9)], "qid long, id long, score double, lex_rank int, sem_rank int")
+    got = logs.with_use(hits, clicks, asked, now)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(r.qid, r.id): (r.general, r.specific) for r in logs.use(clicks, asked, hits, now).collect()}
+    assert {(r.qid, r.id): (r.general, r.specific) for r in got.collect()} == want and len(want) == 9
