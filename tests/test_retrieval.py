@@ -196,3 +196,12 @@ def test_use_of_hits_and_words_of_queries_without_a_shuffle(spark):
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     want = {(r.qid, r.id): (r.general, r.specific) for r in logs.use(clicks, asked, hits, now).collect()}
     assert {(r.qid, r.id): (r.general, r.specific) for r in got.collect()} == want and len(want) == 9
+
+
+def test_a_filter_after_the_limit_leaves_gaps(spark, index, monkeypatch):
+    written, keep = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    asked, some = spark.createDataFrame([(1, "cuisine "), (2, "cuisine ")], "qid long, text string"), spark.createDataFrame([(1,)], "id long")
+    got = L.search(index, asked, L.Weights(0, 0, 1.0), 2, some, post_filter=True).collect()
+    assert sorted((r.qid, r.doc_id, r["rank"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
+    assert "brought" not in written
